@@ -202,9 +202,13 @@ def date_split(spark: SparkSession, folder: str) -> DataFrame:
 SPLIT_POSITION = "rows_of_group * 1500000 div 1754884"
 
 
+def _event_date():
+    return F.coalesce("date_received", "date_used").alias("event_date")
+
+
 def positional_split(spark: SparkSession, folder: str) -> DataFrame:
-    split = windows.positional_split(_log(spark, folder), F.expr(SPLIT_POSITION))
-    return split.select("row_id", "user_id", "date_received", "split")
+    rows = _log(spark, folder).select("row_id", "user_id", _event_date())
+    return windows.positional_split(rows, F.expr(SPLIT_POSITION), lead="event_date")
 
 
 # --- entity features ----------------------------------------------------------
@@ -469,7 +473,7 @@ def _exploration(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     log = _log(spark, folder)
     rows = log.select(
         "row_id",
-        "date_received",
+        _event_date(),
         "user_id",
         "merchant_id",
         F.coalesce("coupon_id", F.lit(0)).cast("bigint").alias("coupon0"),
@@ -477,7 +481,7 @@ def _exploration(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
         F.coalesce("distance", F.lit(0)).alias("distance"),
         labels.purchase_quadrant(F.col("coupon_id"), F.col("date_used")).alias("label"),
     )
-    split = models.cut_lineage(windows.positional_split(rows, F.expr(SPLIT_POSITION)))
+    split = models.cut_lineage(windows.positional_split(rows, F.expr(SPLIT_POSITION), lead="event_date"))
     return split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
 
 

@@ -94,21 +94,27 @@ def _chains(sets: list[list[str]], order: list[str]) -> list[list[list[str]]]:
 
 
 def _windowed(rows: DataFrame, counts: Mapping[str, list[str]], lead: str) -> DataFrame:
-    """Counts as windows over one partitioning by ``lead``."""
-    rows = rows.repartition(lead)
-    order = list(dict.fromkeys([lead, *(c for columns in counts.values() for c in columns)]))
-    for chain in _chains(list(counts.values()), order):
+    """Counts as windows over one partitioning by ``lead``.
+
+    Floating columns are partitioned by their text: Spark normalises floating
+    window keys, and would then not recognise the sort the windows share.
+    """
+    texts = {c: f"{c}_text" for c, kind in rows.dtypes if kind in ("double", "float")}
+    sets = {name: [texts.get(c, c) for c in columns] for name, columns in counts.items()}
+    order = list(dict.fromkeys([lead, *(c for columns in sets.values() for c in columns)]))
+    result = rows.repartition(lead).withColumns({text: F.col(c).cast("string") for c, text in texts.items()})
+    for chain in _chains(list(sets.values()), order):
         # Sort by the smallest set first, then by what each larger one adds.
         sort: list[str] = [lead]
         for columns in reversed(chain):
             sort += [c for c in columns if c not in sort]
         windows = {}
-        for name, columns in counts.items():
+        for name, columns in sets.items():
             if columns in chain:
                 by = Window.partitionBy(*[c for c in sort if c in columns])
                 windows[name] = F.count(F.lit(1)).over(by)
-        rows = rows.sortWithinPartitions(*sort).withColumns(windows)
-    return rows
+        result = result.sortWithinPartitions(*sort).withColumns(windows)
+    return result.drop(*texts.values())
 
 
 def _from_grain(rows: DataFrame, counts: Mapping[str, list[str]]) -> DataFrame:

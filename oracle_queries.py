@@ -564,9 +564,10 @@ def sql() -> dict[str, str]:
         "date_split": f"""WITH {LOG} SELECT {RAW},
             CASE WHEN date_received < DATE '2016-05-30' THEN 'train' ELSE 'validate' END AS split
             FROM log WHERE date_received <= DATE '2016-06-15'""",
-        "positional_split": f"""WITH {LOG}, p AS (SELECT *, count(*) OVER () AS n,
-              row_number() OVER (ORDER BY date_received NULLS FIRST, md5(row_id), row_id) AS place FROM log)
-            SELECT row_id, user_id, date_received,
+        "positional_split": f"""WITH {LOG}, e AS (SELECT *, coalesce(date_received, date_used) AS event_date FROM log),
+            p AS (SELECT *, count(*) OVER () AS n,
+              row_number() OVER (ORDER BY event_date NULLS FIRST, md5(row_id), row_id) AS place FROM e)
+            SELECT row_id, user_id, event_date,
               CASE WHEN place <= n * 1500000 // 1754884 THEN 'train' ELSE 'test' END AS split FROM p""",
         "user_counts": _user(USER_COUNTS),
         "user_distincts": _user(USER_DISTINCTS),
