@@ -6,12 +6,13 @@ Two ways of getting the same numbers:
   all, and one sort serves every chain of nested column sets;
 * all other counts, and the counts of hot users, are taken on the grain: the
   distinct combinations of the columns with their row counts.  Each count is
-  a sum over the grain, and the grain joins back to the rows once.
+  a sum over the grain.  Counts measured to have few groups are broadcast; the
+  rest meet on the grain, which joins back to the rows once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 
 from couponlab.operators import skew
 
+#: Most groups of a count that is broadcast: some megabytes.
+BROADCAST_GROUPS = 100_000
+
 #: Columns the interaction counts combine, in naming order.
 COLUMNS = {
     "user_id": "user_id",
@@ -93,19 +97,19 @@ def _chains(sets: list[list[str]], order: list[str]) -> list[list[list[str]]]:
     return chains
 
 
-def _windowed(rows: DataFrame, counts: Mapping[str, list[str]], lead: str) -> DataFrame:
-    """Counts as windows over one partitioning by ``lead``.
+def _windowed(rows: DataFrame, counts: Mapping[str, list[str]], lead: list[str]) -> DataFrame:
+    """Counts as windows over one partitioning by ``lead``, which all counts include.
 
     Floating columns are partitioned by their text: Spark normalises floating
     window keys, and would then not recognise the sort the windows share.
     """
     texts = {c: f"{c}_text" for c, kind in rows.dtypes if kind in ("double", "float")}
     sets = {name: [texts.get(c, c) for c in columns] for name, columns in counts.items()}
-    order = list(dict.fromkeys([lead, *(c for columns in sets.values() for c in columns)]))
-    result = rows.repartition(lead).withColumns({text: F.col(c).cast("string") for c, text in texts.items()})
+    order = list(dict.fromkeys([*lead, *(c for columns in sets.values() for c in columns)]))
+    result = rows.repartition(*lead).withColumns({text: F.col(c).cast("string") for c, text in texts.items()})
     for chain in _chains(list(sets.values()), order):
         # Sort by the smallest set first, then by what each larger one adds.
-        sort: list[str] = [lead]
+        sort = list(lead)
         for columns in reversed(chain):
             sort += [c for c in columns if c not in sort]
         windows = {}
@@ -117,44 +121,69 @@ def _windowed(rows: DataFrame, counts: Mapping[str, list[str]], lead: str) -> Da
     return result.drop(*texts.values())
 
 
-def _from_grain(rows: DataFrame, counts: Mapping[str, list[str]]) -> DataFrame:
-    """Counts as sums over the distinct combinations, joined back once.
+def _few_groups(rows: DataFrame, counts: Mapping[str, list[str]]) -> set[str]:
+    """Names of the counts with at most ``BROADCAST_GROUPS`` groups, by sketches in one pass."""
+    sketches = [F.approx_count_distinct(F.xxhash64(*keys), 0.02).alias(name) for name, keys in counts.items()]
+    sizes = rows.agg(*sketches).first()
+    return {name for name in counts if sizes[name] <= BROADCAST_GROUPS}
+
 
-    The sums are joined by measured size, and a combination with very many
-    copies is split by the adaptive skew join: its one grain row goes to each
-    part.
+def _from_grain(
+    rows: DataFrame, counts: Mapping[str, list[str]], source: DataFrame | None = None, measure: bool = False
+) -> DataFrame:
+    """Counts taken on the grain of ``source`` (by default ``rows`` itself), joined to ``rows``.
+
+    With ``measure``, counts found to have few groups are broadcast to the
+    rows.  The others meet on the grain, which then joins back once; there a
+    combination with very many copies is split by the adaptive skew join, its
+    one grain row going to each part.
     """
+    source = rows if source is None else source
     columns = list(dict.fromkeys(c for keys in counts.values() for c in keys))
-    base = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows_here"))
-    grain = base
+    base = source.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows_here"))
+    few = _few_groups(source, counts) if measure else set()
+    grain, on_grain = base, False
     for name, keys in counts.items():
-        if set(keys) == set(columns):
-            grain = grain.withColumn(name, F.col("rows_here"))
-        else:
-            total = base.groupBy(*keys).agg(F.sum("rows_here").alias(name))
-            grain = grain.join(total, keys, "left")
-    return rows.join(grain.drop("rows_here"), columns, "left")
+        total = base.groupBy(*keys).agg(F.sum("rows_here").alias(name))
+        if name in few:
+            rows = rows.join(F.broadcast(total), keys, "left")
+            continue
+        on_grain = True
+        whole = set(keys) == set(columns)
+        grain = grain.withColumn(name, F.col("rows_here")) if whole else grain.join(total, keys, "left")
+    return rows.join(grain.drop("rows_here"), columns, "left") if on_grain else rows
 
 
-def attach_counts(rows: DataFrame, counts: Mapping[str, list[str]], hot_users: DataFrame | None = None) -> DataFrame:
-    """Add one count column per entry of ``counts``.
+def attach_counts(
+    rows: DataFrame,
+    counts: Mapping[str, list[str]],
+    hot_users: DataFrame | None = None,
+    within: Sequence[str] = (),
+) -> DataFrame:
+    """Add one count column per entry of ``counts``, separately for each ``within``.
 
     ``rows`` are cleaned receipts: every counted column is filled.
     """
+    counts = {name: [*within, *keys] for name, keys in counts.items()}
     led = {name: keys for name, keys in counts.items() if "user_id" in keys}
     rest = {name: keys for name, keys in counts.items() if "user_id" not in keys}
+    result = rows
     if led:
         cold, heavy = skew.split_hot(rows, ["user_id"], hot_users)
-        attached = _windowed(cold, led, "user_id")
-        rows = attached if heavy is None else attached.unionByName(_from_grain(heavy, led))
-    if rest:
-        rows = _from_grain(rows, rest)
-    return rows
-
-
-def attach_repeats(rows: DataFrame, flags: Mapping[str, list[str]], hot_users: DataFrame | None = None) -> DataFrame:
+        result = _windowed(cold, led, [*within, "user_id"])
+        if heavy is not None:
+            result = result.unionByName(_from_grain(heavy, led))
+    return _from_grain(result, rest, source=rows, measure=True) if rest else result
+
+
+def attach_repeats(
+    rows: DataFrame,
+    flags: Mapping[str, list[str]],
+    hot_users: DataFrame | None = None,
+    within: Sequence[str] = (),
+) -> DataFrame:
     """Add 1 where the combination occurs more than once, else 0."""
-    rows = attach_counts(rows, flags, hot_users)
+    rows = attach_counts(rows, flags, hot_users, within)
     return rows.withColumns({name: (F.col(name) > 1).cast("int") for name in flags})
 
 
@@ -163,11 +192,11 @@ def attach_basic_counts(rows: DataFrame, hot_users: DataFrame | None = None) ->
     return _with_coupon_repeat(attach_counts(rows, BASIC_COUNTS, hot_users))
 
 
-def attach_row_counts_v0(rows: DataFrame, hot_users: DataFrame | None = None, within: str | None = None) -> DataFrame:
-    """The smaller set of row counts, separately for each value of ``within``."""
-    extra = [within] if within else []
-    counts = {name: [*keys, *extra] for name, keys in ROW_COUNTS_V0.items()}
-    return _with_coupon_repeat(attach_counts(rows, counts, hot_users))
+def attach_row_counts_v0(
+    rows: DataFrame, hot_users: DataFrame | None = None, within: Sequence[str] = ()
+) -> DataFrame:
+    """The smaller set of row counts."""
+    return _with_coupon_repeat(attach_counts(rows, ROW_COUNTS_V0, hot_users, within))
 
 
 def _with_coupon_repeat(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ rate has a name of its own instead of replacing its count.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from couponlab.operators.features import Feature, Ratio, entity_features, ratio_columns
@@ -193,17 +195,24 @@ MERCHANT_RATES = [
 ]
 
 
-def user_features(rows: DataFrame, features: list[Feature] = USER_FEATURES, hot: DataFrame | None = None) -> DataFrame:
-    return entity_features(rows, "user_id", features, many=True, hot=hot)
+def user_features(
+    rows: DataFrame,
+    features: list[Feature] = USER_FEATURES,
+    hot: DataFrame | None = None,
+    within: Sequence[str] = (),
+) -> DataFrame:
+    return entity_features(rows, "user_id", features, many=True, hot=hot, within=within)
 
 
-def merchant_features(rows: DataFrame, features: list[Feature] = MERCHANT_FEATURES) -> DataFrame:
-    return entity_features(rows, "merchant_id", features)
+def merchant_features(
+    rows: DataFrame, features: list[Feature] = MERCHANT_FEATURES, within: Sequence[str] = ()
+) -> DataFrame:
+    return entity_features(rows, "merchant_id", features, within=within)
 
 
-def coupon_features(rows: DataFrame, with_rate: bool = True) -> DataFrame:
+def coupon_features(rows: DataFrame, with_rate: bool = True, within: Sequence[str] = ()) -> DataFrame:
     """Coupon table keyed by ``coupon0``; purchases without coupon are key 0."""
-    table = entity_features(rows, "coupon0", COUPON_FEATURES_V0)
+    table = entity_features(rows, "coupon0", COUPON_FEATURES_V0, within=within)
     return table.select("*", *ratio_columns([COUPON_RATE])) if with_rate else table
 
 

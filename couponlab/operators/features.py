@@ -17,6 +17,7 @@ reaches the second one as partial sums.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -103,8 +104,8 @@ def _value(name: str) -> Column:
     return F.col(name)
 
 
-def _frequencies(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """Rows per key, slot (value column) and value, one count per state."""
+def _frequencies(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Rows per entity, slot (value column) and value, one count per state."""
     slots = []
     for slot, name in enumerate(values):
         value, real = _value(name), VALUE_TYPES[name] == "double"
@@ -115,11 +116,11 @@ def _frequencies(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
                 (value if real else F.lit(None)).cast("double").alias("real"),
             )
         )
-    tall = rows.select(key, _state().alias("state"), F.inline(F.array(*slots)))
+    tall = rows.select(*keys, _state().alias("state"), F.inline(F.array(*slots)))
     present = F.col("whole").isNotNull() | F.col("real").isNotNull()
     return (
         tall.where(present)
-        .groupBy(key, "slot", "whole", "real")
+        .groupBy(*keys, "slot", "whole", "real")
         .agg(*[F.count_if(F.col("state") == s).alias(f"n{s}") for s in STATES["all"]])
     )
 
@@ -150,16 +151,14 @@ def _reduce(feature: Feature, values: list[str], base: int) -> str:
     raise ValueError(f"unknown feature kind {feature.kind!r}")
 
 
-def _reduced(rows: DataFrame, key: str, features: list[Feature]) -> DataFrame:
+def _reduced(rows: DataFrame, keys: list[str], features: list[Feature]) -> DataFrame:
     values = list(dict.fromkeys(f.value for f in features if f.value))
     # Counts are read off one column that is never null; the key itself if need be.
-    never_null = [v for v in values if v not in ("threshold_cost", "redeem_gap")]
-    if not never_null:
-        values.append(key)
-        never_null = [key]
+    never_null = [v for v in values if v not in ("threshold_cost", "redeem_gap")] or [keys[-1]]
+    values = list(dict.fromkeys([*values, never_null[0]]))
     base = values.index(never_null[0])
     reduced = [F.expr(f"{_reduce(f, values, base)} AS {f.name}") for f in features]
-    return _frequencies(rows, key, values).groupBy(key).agg(*reduced)
+    return _frequencies(rows, keys, values).groupBy(*keys).agg(*reduced)
 
 
 def entity_features(
@@ -169,16 +168,18 @@ def entity_features(
     *,
     many: bool = False,
     hot: DataFrame | None = None,
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per ``key`` with all ``features``; 0 where no row qualifies.
+    """One row per ``within`` and ``key`` with all ``features``; 0 where no row qualifies.
 
     ``rows`` is a cleaned log.  ``many`` says that keys are many and have few
     rows each, so counting before the shuffle would not shrink anything: then
     the narrow log is partitioned by key once and both groupings run inside
     that partitioning, except for the ``hot`` keys, which count first.
     """
+    keys = [*within, key]
     if not many:
-        return _reduced(rows, key, features)
+        return _reduced(rows, keys, features)
     cold, heavy = skew.split_hot(rows, [key], hot)
-    reduced = _reduced(cold.repartition(key), key, features)
-    return reduced if heavy is None else reduced.unionByName(_reduced(heavy, key, features))
+    reduced = _reduced(cold.repartition(*keys), keys, features)
+    return reduced if heavy is None else reduced.unionByName(_reduced(heavy, keys, features))

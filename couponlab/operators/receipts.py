@@ -7,6 +7,8 @@ most one row per calendar day.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +26,14 @@ SEQUENCE_COLUMNS = [
 ]
 
 
-def _sequence(weight: Column) -> dict[str, Column]:
-    """The columns over (user, coupon) ordered by day.
+def _sequence(weight: Column, within: Sequence[str]) -> dict[str, Column]:
+    """The columns over (``within``, user, coupon) ordered by day.
 
     ``weight`` is the number of receipts a row stands for.  All frames share
     one ordering, so they run in a single window operator.
     """
     day = F.unix_date("date_received")
-    by_day = Window.partitionBy("user_id", "coupon0").orderBy(day)
+    by_day = Window.partitionBy(*within, "user_id", "coupon0").orderBy(day)
     whole = by_day.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     earlier = by_day.rangeBetween(Window.unboundedPreceding, -1)
     later = by_day.rangeBetween(1, Window.unboundedFollowing)
@@ -49,21 +51,24 @@ def _sequence(weight: Column) -> dict[str, Column]:
     }
 
 
-def attach_sequence(rows: DataFrame, hot_users: DataFrame | None = None) -> DataFrame:
+def attach_sequence(rows: DataFrame, hot_users: DataFrame | None = None, within: Sequence[str] = ()) -> DataFrame:
     """Add the receipt-order columns to receipts (``date_received`` present)."""
     cold, heavy = skew.split_hot(rows, ["user_id"], hot_users)
-    done = cold.repartition("user_id").withColumns(_sequence(F.lit(1)))
+    done = cold.repartition(*within, "user_id").withColumns(_sequence(F.lit(1), within))
     if heavy is None:
         return done
-    keys = ["user_id", "coupon0", "date_received"]
+    keys = [*within, "user_id", "coupon0", "date_received"]
     days = heavy.groupBy(*keys).agg(F.count(F.lit(1)).alias("receipts"))
-    days = days.withColumns(_sequence(F.col("receipts"))).drop("receipts")
+    days = days.withColumns(_sequence(F.col("receipts"), within)).drop("receipts")
     return done.unionByName(heavy.join(days, keys, "left"))
 
 
-def attach_receipt_features(rows: DataFrame, hot_users: DataFrame | None = None) -> DataFrame:
+def attach_receipt_features(
+    rows: DataFrame, hot_users: DataFrame | None = None, within: Sequence[str] = ()
+) -> DataFrame:
     """Receipt order and both same-day repeat flags."""
-    return attach_repeats(attach_sequence(rows, hot_users), {**COUPON_REPEAT, **MERCHANT_REPEAT}, hot_users)
+    ordered = attach_sequence(rows, hot_users, within)
+    return attach_repeats(ordered, {**COUPON_REPEAT, **MERCHANT_REPEAT}, hot_users, within)
 
 
 def first_dates(*logs: DataFrame) -> DataFrame:

@@ -50,15 +50,15 @@ def split_hot(rows: DataFrame, keys: list[str], hot: DataFrame | None) -> tuple[
 
 
 def left_join(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: DataFrame | None = None) -> DataFrame:
-    """Left join to a table with one row per key.
+    """Left join to a table with one row per ``keys``; ``hot`` is keyed by one of them.
 
     Rows of hot keys never gather in one partition: the lookup rows of the hot
-    keys, at most ``MAX_HOT_KEYS``, are broadcast to them.  All others take
-    the join Catalyst picks.
+    keys, at most ``MAX_HOT_KEYS`` per value of the other keys, are broadcast
+    to them.  The other keys are window or split numbers, of which there are a
+    handful.  All other rows take the join Catalyst picks.
     """
-    cold, heavy = split_hot(rows, keys, hot)
-    joined = cold.join(lookup, keys, "left")
-    if heavy is None:
-        return joined
-    few = lookup.join(F.broadcast(hot), keys, "left_semi")
-    return joined.unionByName(heavy.join(F.broadcast(few), keys, "left"))
+    if hot is None:
+        return rows.join(lookup, keys, "left")
+    cold, heavy = split_hot(rows, hot.columns, hot)
+    few = lookup.join(F.broadcast(hot), hot.columns, "left_semi")
+    return cold.join(lookup, keys, "left").unionByName(heavy.join(F.broadcast(few), keys, "left"))

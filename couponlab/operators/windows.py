@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,9 +62,21 @@ LABEL_FIELDS = {
 }
 
 
+def is_received_in(span: Span) -> Column:
+    return span.covers(F.col("date_received"))
+
+
+def is_active_in(span: Span) -> Column:
+    """Bought in the span, or received in it and never used.
+
+    Two plain comparisons, so that both reach the file scan.
+    """
+    return span.covers(F.col("date_used")) | (F.col("date_used").isNull() & span.covers(F.col("date_received")))
+
+
 def received_in(log: DataFrame, span: Span) -> DataFrame:
     """Receipts in the span."""
-    return log.where(span.covers(F.col("date_received")))
+    return log.where(is_received_in(span))
 
 
 def bought_in(log: DataFrame, span: Span) -> DataFrame:
@@ -70,13 +85,14 @@ def bought_in(log: DataFrame, span: Span) -> DataFrame:
 
 
 def active_in(log: DataFrame, span: Span) -> DataFrame:
-    """Purchases in the span, and receipts in it that were never used.
+    """Purchases in the span, and receipts in it that were never used."""
+    return log.where(is_active_in(span))
 
-    Written as two plain comparisons so that both reach the file scan.
-    """
-    purchased = span.covers(F.col("date_used"))
-    unused = F.col("date_used").isNull() & span.covers(F.col("date_received"))
-    return log.where(purchased | unused)
+
+def tagged(log: DataFrame, spans: Mapping[int, Column], name: str = "window") -> DataFrame:
+    """Rows of any span, once for each span they lie in, with its number."""
+    numbers = F.array(*[F.when(inside, F.lit(number)) for number, inside in spans.items()])
+    return log.where(reduce(or_, spans.values())).withColumn(name, F.explode(F.array_compact(numbers)))
 
 
 def date_split(log: DataFrame, cut: str = "2016-05-30", last: str = "2016-06-15") -> DataFrame:
@@ -89,42 +105,42 @@ def date_split(log: DataFrame, cut: str = "2016-05-30", last: str = "2016-06-15"
 def exact_parts(rows: DataFrame, by: list[str], quotas: list[Column], order: list[Column], bucket: Column) -> DataFrame:
     """Number the parts of each group: 0 up to the first quota, 1 up to the next, ...
 
-    Rows of a group are ranked by ``order``; a quota is a number of rows, as a
-    column that may use ``rows_of_group``.  The result is exact, yet no group
-    is sorted as a whole: ``bucket`` must not decrease along ``order``, rows
-    are counted per bucket, and only the buckets holding a cut are ranked.
-    Groups are few; buckets are at most ``16 ** HASH_DIGITS`` per leading value.
+    Rows of a group are ranked by ``order``, which must tell rows apart and
+    hold no nulls; a quota is a number of rows, as a column that may use
+    ``rows_of_group``.  The result is exact, yet no group is sorted or moved:
+    ``bucket`` must not decrease along ``order``, rows are counted per bucket,
+    only the buckets a quota falls in are ranked to find its last row, and all
+    rows are then compared with those few.  Groups are few; buckets are at
+    most ``16 ** HASH_DIGITS`` per leading value.
     """
-    marked = rows.withColumn("bucket", bucket)
+    marked = rows.select(*by, F.struct(*order).alias("at"), bucket.alias("bucket"))
     counted = marked.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("rows_here"))
     group = Window.partitionBy(*by)
     running = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = counted.withColumns(
         {"rows_of_group": F.sum("rows_here").over(group), "reached": F.sum("rows_here").over(running)}
     )
-    cuts = []
+    cuts, edges, part = [], [], F.lit(0)
     for i, quota in enumerate(quotas):
         short = F.col("reached") < quota
         # The bucket the quota falls in, and how many of its rows are inside.
         cuts.append(F.min(F.when(~short, F.col("bucket"))).alias(f"cut_{i}"))
         cuts.append(F.min(quota - F.when(short, F.col("reached")).otherwise(0)).alias(f"left_{i}"))
-    table = counted.groupBy(*by).agg(*cuts)
-    # One row per group, and groups are few.
-    placed = marked.join(F.broadcast(table), by, "left")
-    at_cut = F.lit(False)
-    for i in range(len(quotas)):
-        at_cut = at_cut | F.coalesce(F.col("bucket") == F.col(f"cut_{i}"), F.lit(False))
-    ranked = placed.where(at_cut).withColumn(
-        "place", F.row_number().over(Window.partitionBy(*by, "bucket").orderBy(*order))
-    )
-    clear = placed.where(~at_cut).withColumn("place", F.lit(0))
-    part = F.lit(0)
-    for i in range(len(quotas)):
-        beyond = (F.col("bucket") > F.col(f"cut_{i}")) | (
-            (F.col("bucket") == F.col(f"cut_{i}")) & (F.col("place") > F.col(f"left_{i}"))
+        last = (F.col("bucket") == F.col(f"cut_{i}")) & (F.col("place") == F.col(f"left_{i}"))
+        edges.append(F.max(F.when(last, F.col("at"))).alias(f"edge_{i}"))
+        beyond = (
+            F.when(F.col(f"cut_{i}").isNull(), False)
+            .when(F.col(f"left_{i}") <= 0, True)
+            .otherwise(F.struct(*order) > F.col(f"edge_{i}"))
         )
-        part = part + F.coalesce(beyond, F.lit(False)).cast("int")
-    return ranked.unionByName(clear).withColumn("part", part).select(*rows.columns, "part")
+        part = part + beyond.cast("int")
+    # One row per group in both tables.
+    table = counted.groupBy(*by).agg(*cuts)
+    at_cut = reduce(or_, [F.col("bucket") == F.col(f"cut_{i}") for i in range(len(quotas))])
+    ranked = marked.join(F.broadcast(table), by).where(at_cut)
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*by, "bucket").orderBy("at")))
+    table = table.join(ranked.groupBy(*by).agg(*edges), by, "left")
+    return rows.join(F.broadcast(table), by, "left").select(*rows.columns, part.alias("part"))
 
 
 def _hash_order(row_id: str) -> tuple[list[Column], Column]:

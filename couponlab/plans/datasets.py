@@ -6,7 +6,7 @@ it every key is taken as ordinary.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -66,12 +66,6 @@ def label_last(rows: DataFrame) -> DataFrame:
     return rows.select(*others, F.col("label").cast("int"))
 
 
-def _attach(rows: DataFrame, table: DataFrame, key: str, hot: Hot) -> DataFrame:
-    """Join an entity table and fill its columns, and only those, with 0."""
-    features = [c for c in table.columns if c != key]
-    return skew.left_join(rows, table, [key], hot.get(key)).na.fill(0, subset=features)
-
-
 def attach_entities(
     rows: DataFrame,
     history: DataFrame,
@@ -80,33 +74,50 @@ def attach_entities(
     merchants: list = entities.MERCHANT_FEATURES,
     coupon_rate: bool = True,
     prefix: str = "",
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """Join user, merchant and coupon features of ``history`` to ``rows``."""
+    """Join user, merchant and coupon features of ``history`` to ``rows``.
+
+    Added columns, and only those, are 0 for entities without history.
+    Columns ``rows`` already has are not added again.
+    """
     tables = {
-        "user_id": entities.user_features(history, users, hot.get("user_id")),
-        "merchant_id": entities.merchant_features(history, merchants),
-        "coupon0": entities.coupon_features(history, coupon_rate),
+        "user_id": entities.user_features(history, users, hot.get("user_id"), within),
+        "merchant_id": entities.merchant_features(history, merchants, within),
+        "coupon0": entities.coupon_features(history, coupon_rate, within),
     }
+    added = []
     for key, table in tables.items():
+        keys = [*within, key]
         if prefix:
-            table = table.withColumnsRenamed({c: prefix + c for c in table.columns if c != key})
-        repeated = [c for c in profile.shared_columns(table, rows) if c != key]
-        rows = _attach(rows, table.drop(*repeated), key, hot)
-    return rows
+            table = table.withColumnsRenamed({c: prefix + c for c in table.columns if c not in keys})
+        repeated = [c for c in profile.shared_columns(table, rows) if c not in keys]
+        table = table.drop(*repeated) if repeated else table
+        added += [c for c in table.columns if c not in keys]
+        rows = skew.left_join(rows, table, keys, hot.get(key))
+    return rows.na.fill(0, subset=added)
 
 
-def assemble(history: DataFrame, dataset: DataFrame, hot: Hot | None = None, distinct: bool = False) -> DataFrame:
-    """One window: row features of ``dataset``, entity features of ``history``.
+def assemble(
+    history: DataFrame,
+    dataset: DataFrame,
+    hot: Hot | None = None,
+    distinct: bool = False,
+    within: Sequence[str] = (),
+) -> DataFrame:
+    """Row features of ``dataset`` with entity features of ``history``, both cleaned.
 
-    Both are cleaned.  Exact copies count in the row features; ``distinct``
-    then drops them.  All added columns are functions of the row and its log,
-    so dropping copies before the entity joins gives the same rows as after.
+    ``within`` names columns, such as a window number, that keep several
+    windows apart while they are built in one pass.  Exact copies count in the
+    row features; ``distinct`` then drops them.  All added columns are
+    functions of the row and its log, so dropping copies before the entity
+    joins gives the same rows as after.
     """
     hot = hot or {}
-    rows = receipts.attach_receipt_features(dataset.where(fields.received()), hot.get("user_id"))
+    rows = receipts.attach_receipt_features(dataset.where(fields.received()), hot.get("user_id"), within)
     if distinct:
-        rows = rows.dropDuplicates([c for c in fields.RAW_COLUMNS if c in rows.columns])
-    return attach_entities(encode(rows), history, hot)
+        rows = rows.dropDuplicates([*within, *(c for c in fields.RAW_COLUMNS if c in rows.columns)])
+    return attach_entities(encode(rows), history, hot, within=within)
 
 
 def training_set(log: DataFrame, scoring: DataFrame, hot: Hot | None = None, as_written: bool = False) -> DataFrame:
@@ -117,23 +128,23 @@ def training_set(log: DataFrame, scoring: DataFrame, hot: Hot | None = None, as_
     """
     log = fields.clean(log)
     hot = find_hot(log) if hot is None else hot
-    firsts = receipts.first_dates(log, scoring)
-    flagged = receipts.attach_first_receipt(log, firsts, hot.get("coupon0")).drop("row_id")
     first = windows.DATASET_1_AS_WRITTEN if as_written else windows.DATASET_1
-    spans = [(first, windows.FEATURE_1), (windows.DATASET_2, windows.FEATURE_2)]
-    sets = [
-        assemble(windows.active_in(log, history), windows.received_in(flagged, dataset), hot, distinct=True)
-        for dataset, history in spans
-    ]
-    return label_last(fields.with_label(reduce(DataFrame.unionByName, sets)))
+    dataset = windows.tagged(
+        log.drop("row_id"), {1: windows.is_received_in(first), 2: windows.is_received_in(windows.DATASET_2)}
+    )
+    history = windows.tagged(
+        log, {1: windows.is_active_in(windows.FEATURE_1), 2: windows.is_active_in(windows.FEATURE_2)}
+    )
+    flagged = receipts.attach_first_receipt(dataset, receipts.first_dates(log, scoring), hot.get("coupon0"))
+    built = assemble(history, flagged, hot, distinct=True, within=["window"])
+    return label_last(fields.with_label(built.drop("window")))
 
 
 def scoring_set(log: DataFrame, scoring: DataFrame, hot: Hot | None = None) -> DataFrame:
     """The scoring log with the features of window 3.  Copies are kept."""
     log, rows = fields.clean(log), fields.clean(scoring)
     hot = find_hot(log.select(*KEYS).unionByName(rows.select(*KEYS))) if hot is None else hot
-    firsts = receipts.first_dates(log, rows)
-    flagged = receipts.attach_first_receipt(rows, firsts, hot.get("coupon0"))
+    flagged = receipts.attach_first_receipt(rows, receipts.first_dates(log, rows), hot.get("coupon0"))
     return assemble(windows.active_in(log, windows.FEATURE_3), flagged, hot)
 
 
@@ -152,7 +163,7 @@ def assemble_v0(sets: Mapping[str, DataFrame], hot: Hot | None = None, fit_on: s
     hot = hot or {}
     tagged = [frame.withColumn("split", F.lit(name)) for name, frame in sets.items()]
     rows = reduce(DataFrame.unionByName, tagged)
-    counted = counts.attach_row_counts_v0(rows, hot.get("user_id"), within="split")
+    counted = counts.attach_row_counts_v0(rows, hot.get("user_id"), within=["split"])
     return attach_entities(
         encode(counted),
         sets[fit_on],
