@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import oracle_queries
 from couponlab.functions import calendar, discount, fields, labels
-from couponlab.operators import counts, entities, evaluation, models, neighbours, profile, receipts, windows
+from couponlab.operators import counts, entities, evaluation, models, neighbours, profile, receipts, skew, windows
 from couponlab.plans import datasets, scoring
 from couponlab.sources.star_tables import coupon_log, scoring_log
 
@@ -47,7 +47,7 @@ def _raw(rows: DataFrame, *extra: str) -> DataFrame:
 
 
 def _hot_users(rows: DataFrame) -> DataFrame | None:
-    return datasets.find_hot(rows)["user_id"]
+    return skew.hot_keys(rows, ["user_id"])
 
 
 # --- parsing, labels, profiles ------------------------------------------------

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import combinations
+from math import prod
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,10 +123,14 @@ def _windowed(rows: DataFrame, counts: Mapping[str, list[str]], lead: list[str])
 
 
 def _few_groups(rows: DataFrame, counts: Mapping[str, list[str]]) -> set[str]:
-    """Names of the counts with at most ``BROADCAST_GROUPS`` groups, by sketches in one pass."""
-    sketches = [F.approx_count_distinct(F.xxhash64(*keys), 0.02).alias(name) for name, keys in counts.items()]
-    sizes = rows.agg(*sketches).first()
-    return {name for name in counts if sizes[name] <= BROADCAST_GROUPS}
+    """Names of the counts with at most ``BROADCAST_GROUPS`` groups.
+
+    The bound is the product of the distinct values of the columns, sketched
+    in one pass and taken 20 % up for the error of the sketches.
+    """
+    columns = sorted({c for keys in counts.values() for c in keys})
+    sizes = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    return {name for name, keys in counts.items() if prod(1.2 * sizes[c] for c in keys) <= BROADCAST_GROUPS}
 
 
 def _from_grain(
