@@ -164,16 +164,20 @@ def attach_counts(
     counts: Mapping[str, list[str]],
     hot_users: DataFrame | None = None,
     within: Sequence[str] = (),
+    all_hot: bool = False,
 ) -> DataFrame:
     """Add one count column per entry of ``counts``, separately for each ``within``.
 
-    ``rows`` are cleaned receipts: every counted column is filled.
+    ``rows`` are cleaned receipts: every counted column is filled.  ``all_hot``
+    says that the rows are those of hot users only.
     """
     counts = {name: [*within, *keys] for name, keys in counts.items()}
     led = {name: keys for name, keys in counts.items() if "user_id" in keys}
     rest = {name: keys for name, keys in counts.items() if "user_id" not in keys}
     result = rows
-    if led:
+    if led and all_hot:
+        result = _from_grain(rows, led)
+    elif led:
         cold, heavy = skew.split_hot(rows, ["user_id"], hot_users)
         result = _windowed(cold, led, [*within, "user_id"])
         if heavy is not None:
@@ -186,9 +190,10 @@ def attach_repeats(
     flags: Mapping[str, list[str]],
     hot_users: DataFrame | None = None,
     within: Sequence[str] = (),
+    all_hot: bool = False,
 ) -> DataFrame:
     """Add 1 where the combination occurs more than once, else 0."""
-    rows = attach_counts(rows, flags, hot_users, within)
+    rows = attach_counts(rows, flags, hot_users, within, all_hot)
     return rows.withColumns({name: (F.col(name) > 1).cast("int") for name in flags})
 
 

@@ -51,24 +51,33 @@ def _sequence(weight: Column, within: Sequence[str]) -> dict[str, Column]:
     }
 
 
+def _by_window(rows: DataFrame, within: Sequence[str]) -> DataFrame:
+    return rows.repartition(*within, "user_id").withColumns(_sequence(F.lit(1), within))
+
+
+def _by_day(rows: DataFrame, within: Sequence[str]) -> DataFrame:
+    keys = [*within, "user_id", "coupon0", "date_received"]
+    days = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("receipts"))
+    return rows.join(days.withColumns(_sequence(F.col("receipts"), within)).drop("receipts"), keys, "left")
+
+
 def attach_sequence(rows: DataFrame, hot_users: DataFrame | None = None, within: Sequence[str] = ()) -> DataFrame:
     """Add the receipt-order columns to receipts (``date_received`` present)."""
     cold, heavy = skew.split_hot(rows, ["user_id"], hot_users)
-    done = cold.repartition(*within, "user_id").withColumns(_sequence(F.lit(1), within))
-    if heavy is None:
-        return done
-    keys = [*within, "user_id", "coupon0", "date_received"]
-    days = heavy.groupBy(*keys).agg(F.count(F.lit(1)).alias("receipts"))
-    days = days.withColumns(_sequence(F.col("receipts"), within)).drop("receipts")
-    return done.unionByName(heavy.join(days, keys, "left"))
+    done = _by_window(cold, within)
+    return done if heavy is None else done.unionByName(_by_day(heavy, within))
 
 
 def attach_receipt_features(
     rows: DataFrame, hot_users: DataFrame | None = None, within: Sequence[str] = ()
 ) -> DataFrame:
     """Receipt order and both same-day repeat flags."""
-    ordered = attach_sequence(rows, hot_users, within)
-    return attach_repeats(ordered, {**COUPON_REPEAT, **MERCHANT_REPEAT}, hot_users, within)
+    repeats = {**COUPON_REPEAT, **MERCHANT_REPEAT}
+    cold, heavy = skew.split_hot(rows, ["user_id"], hot_users)
+    done = attach_repeats(_by_window(cold, within), repeats, within=within)
+    if heavy is None:
+        return done
+    return done.unionByName(attach_repeats(_by_day(heavy, within), repeats, within=within, all_hot=True))
 
 
 def first_dates(*logs: DataFrame) -> DataFrame:

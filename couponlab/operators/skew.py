@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows of one key a single task handles comfortably.
 HOT_ROWS = 1_000_000
 
+#: Partitions the rows of a hot key are spread over in a join.
+SALTS = 32
+
 #: The longest hot-key list.  A key left off it takes the ordinary path.
 MAX_HOT_KEYS = 10_000
 
@@ -50,15 +53,19 @@ def split_hot(rows: DataFrame, keys: list[str], hot: DataFrame | None) -> tuple[
 
 
 def left_join(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: DataFrame | None = None) -> DataFrame:
-    """Left join to a table with one row per ``keys``; ``hot`` is keyed by one of them.
+    """Left join to a table with one row per ``keys``; ``hot`` is keyed by some of them.
 
-    Rows of hot keys never gather in one partition: the lookup rows of the hot
-    keys, at most ``MAX_HOT_KEYS`` per value of the other keys, are broadcast
-    to them.  The other keys are window or split numbers, of which there are a
-    handful.  All other rows take the join Catalyst picks.
+    Rows of a hot key are spread over ``SALTS`` partitions by a hash of the
+    row, and its lookup row is repeated for each; all other rows keep salt 0.
+    The hash is the same on every retry of a task.  Copies of one row share a
+    salt; should they alone be very many, the adaptive skew join splits them.
+    Neither side is evaluated more than once.
     """
     if hot is None:
         return rows.join(lookup, keys, "left")
-    cold, heavy = split_hot(rows, hot.columns, hot)
-    few = lookup.join(F.broadcast(hot), hot.columns, "left_semi")
-    return cold.join(lookup, keys, "left").unionByName(heavy.join(F.broadcast(few), keys, "left"))
+    marks = F.broadcast(hot.withColumn("spread", F.lit(SALTS)))
+    own = F.when(F.col("spread").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1))
+    left = rows.join(marks, hot.columns, "left").withColumn("salt", own).drop("spread")
+    right = lookup.join(marks, hot.columns, "left").withColumn("salt", every).drop("spread")
+    return left.join(right, [*keys, "salt"], "left").drop("salt")

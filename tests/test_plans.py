@@ -80,3 +80,14 @@ def test_no_python_in_assembly(spark, star_log, tmp_path):
     log = stored_log(spark, star_log, tmp_path / "log")
     text = plan(datasets.training_set(log, log.drop("date_used")))
     assert "Python" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_hot_keys_do_not_multiply_the_plan(spark, star_log, tmp_path):
+    log = fields.clean(stored_log(spark, star_log, tmp_path / "log").drop("row_id"))
+    hot = datasets.find_hot(log, floor=60)
+    assert hot["user_id"] is not None and hot["merchant_id"] is not None
+    dataset = windows.received_in(log, windows.DATASET_2)
+    # Rows split in two once, hot or not; each entity table reads the history
+    # once, and the user table once more for its hot keys.
+    assert plan(datasets.assemble(log, dataset)).count("FileScan") == 4
+    assert plan(datasets.assemble(log, dataset, hot)).count("FileScan") <= 10
