@@ -16,13 +16,13 @@ from collections.abc import Mapping, Sequence
 from itertools import combinations
 from math import prod
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from couponlab.operators import skew
 
-#: Most groups of a count that is broadcast: some megabytes.
-BROADCAST_GROUPS = 100_000
+#: Most groups of a count that is broadcast: some tens of megabytes.
+BROADCAST_GROUPS = 200_000
 
 #: Columns the interaction counts combine, in naming order.
 COLUMNS = {
@@ -125,12 +125,26 @@ def _windowed(rows: DataFrame, counts: Mapping[str, list[str]], lead: list[str])
 def _few_groups(rows: DataFrame, counts: Mapping[str, list[str]]) -> set[str]:
     """Names of the counts with at most ``BROADCAST_GROUPS`` groups.
 
-    The bound is the product of the distinct values of the columns, sketched
-    in one pass and taken 20 % up for the error of the sketches.
+    The groups of a count are at most the product of the distinct values of
+    its columns.  Where that is too many, the combinations themselves are
+    sketched.  Sketches are taken 20 % up for their error.
     """
-    columns = sorted({c for keys in counts.values() for c in keys})
-    sizes = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    return {name for name, keys in counts.items() if prod(1.2 * sizes[c] for c in keys) <= BROADCAST_GROUPS}
+
+    def sketched(parts: Mapping[str, Column]) -> dict[str, float]:
+        sizes = rows.agg(*[F.approx_count_distinct(part).alias(name) for name, part in parts.items()]).first()
+        return {name: 1.2 * sizes[name] for name in parts}
+
+    values = sketched({c: F.col(c) for keys in counts.values() for c in keys})
+    few = {name for name, keys in counts.items() if prod(values[c] for c in keys) <= BROADCAST_GROUPS}
+    # A combination has at least as many values as any of its columns.
+    unsure = {
+        name: F.xxhash64(*keys)
+        for name, keys in counts.items()
+        if name not in few and len(keys) > 1 and max(values[c] for c in keys) <= BROADCAST_GROUPS
+    }
+    if unsure:
+        few |= {name for name, size in sketched(unsure).items() if size <= BROADCAST_GROUPS}
+    return few
 
 
 def _from_grain(

@@ -127,6 +127,7 @@ def fit_elastic_net(
     *,
     grid: tuple[float, ...] = (0.001, 0.01, 0.1),
     folds: int = 3,
+    iterations: int = 100,
     parallelism: int = 4,
 ) -> CrossValidatorModel:
     """Scaler and elastic-net logistic regression, tuned by global ROC AUC.
@@ -134,7 +135,7 @@ def fit_elastic_net(
     ``grid`` is used for the penalty and for its L1 share.  Folds hold equal
     parts of each label.
     """
-    regression = LogisticRegression(labelCol=label, featuresCol="scaled", maxIter=100)
+    regression = LogisticRegression(labelCol=label, featuresCol="scaled", maxIter=iterations)
     stages = [
         _assembler(features),
         StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
@@ -184,10 +185,12 @@ def fit_naive_bayes(
     return _labelled(NaiveBayes(modelType=kind, smoothing=smoothing), features, label).fit(train)
 
 
-def fit_linear_svc(train: DataFrame, features: list[str], label: str = "label", cost: float = 5.0) -> PipelineModel:
+def fit_linear_svc(
+    train: DataFrame, features: list[str], label: str = "label", cost: float = 5.0, iterations: int = 100
+) -> PipelineModel:
     """Linear support vector classifiers, one per class, with penalty ``1 / (cost * rows)``."""
     rows = max(train.count(), 1)
-    machine = LinearSVC(maxIter=100, regParam=1.0 / (cost * rows), standardization=True)
+    machine = LinearSVC(maxIter=iterations, regParam=1.0 / (cost * rows), standardization=True)
     return _labelled(OneVsRest(classifier=machine, parallelism=2), features, label).fit(train)
 
 

@@ -64,7 +64,7 @@ def test_saved_model_is_reused(learnable, trees, tmp_path):
 
 
 def test_grid_search(spark, learnable):
-    search = models.fit_elastic_net(learnable, INPUTS, grid=(0.001, 0.1), folds=2)
+    search = models.fit_elastic_net(learnable, INPUTS, grid=(0.001, 0.1), folds=2, iterations=20)
     table = models.grid_results(search, spark).collect()
     assert len(table) == 4 and table[0]["mean_auc"] > 0.9
     assert evaluation.global_auc(search.transform(learnable)) > 0.9
@@ -75,7 +75,7 @@ def test_grid_search(spark, learnable):
     [
         lambda rows: models.fit_naive_bayes(rows, INPUTS),
         lambda rows: models.fit_naive_bayes(rows, INPUTS, kind="multinomial", smoothing=0.1),
-        lambda rows: models.fit_linear_svc(rows, INPUTS),
+        lambda rows: models.fit_linear_svc(rows, INPUTS, iterations=10),
     ],
 )
 def test_classifiers_return_the_labels_they_saw(learnable, fit):

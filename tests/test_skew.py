@@ -87,3 +87,16 @@ def test_chains_cover_all_sets_in_few_sorts():
     chains = counts._chains(led, list(counts.COLUMNS.values()))
     assert sorted(map(tuple, led)) == sorted(tuple(s) for chain in chains for s in chain)
     assert len(led) == 30 and len(chains) <= 14
+
+
+def test_counts_are_right_whatever_is_broadcast(skewed, monkeypatch):
+    rows = skewed.where(fields.received()).select("row_id", *counts.COLUMNS.values())
+    wanted = counts.interaction_counts(2)
+    expected = bag(counts.attach_counts(rows, wanted))
+    sizes = {}
+    for bound in (0, 150, 1_000_000):
+        monkeypatch.setattr(counts, "BROADCAST_GROUPS", bound)
+        rest = {name: keys for name, keys in wanted.items() if "user_id" not in keys}
+        sizes[bound] = len(counts._few_groups(rows, rest))
+        assert bag(counts.attach_counts(rows, wanted)) == expected
+    assert sizes[0] == 0 and 0 < sizes[150] < 9 and sizes[1_000_000] == 9
