@@ -39,16 +39,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     without the setting gets a temporary folder of its own.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(named)
-        return named
-    present = context.getCheckpointDir()
-    if present:
-        return present
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder before fitting models on a cluster")
-    folder = tempfile.mkdtemp(prefix="couponlab-checkpoint-")
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder before fitting models on a cluster")
+        folder = tempfile.mkdtemp(prefix="couponlab-checkpoint-")
     context.setCheckpointDir(folder)
-    return folder
+    return context.getCheckpointDir()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +100,17 @@ def test_offline_evaluation(star_log):
     assert 0 <= result["mean_auc"] <= 1 and result["coupons"] > 0
 
 
-def test_checkpoint_folder(spark):
+def test_checkpoint_folder_is_set_once(spark):
     folder = checkpoint_dir(spark)
-    assert folder and checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir() or folder
+    assert folder == checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_named_checkpoint_folder_is_used(tmp_path):
+    """In a process of its own, since a session keeps its first folder."""
+    code = (
+        "from couponlab.session import build_session, checkpoint_dir;"
+        f"s = build_session(master='local[1]', spark__checkpoint__dir='{tmp_path}', spark__ui__enabled='false');"
+        f"assert str('{tmp_path}') in checkpoint_dir(s), checkpoint_dir(s)"
+    )
+    root = Path(__file__).resolve().parents[1]
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
