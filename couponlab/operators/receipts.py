@@ -26,6 +26,9 @@ SEQUENCE_COLUMNS = [
 ]
 
 
+(_REPEATED,) = COUPON_REPEAT
+
+
 def _sequence(weight: Column, within: Sequence[str]) -> dict[str, Column]:
     """The columns over (``within``, user, coupon) ordered by day.
 
@@ -38,7 +41,9 @@ def _sequence(weight: Column, within: Sequence[str]) -> dict[str, Column]:
     earlier = by_day.rangeBetween(Window.unboundedPreceding, -1)
     later = by_day.rangeBetween(1, Window.unboundedFollowing)
     first, last = F.min(day).over(whole), F.max(day).over(whole)
+    same_day = F.sum(weight).over(by_day.rangeBetween(Window.currentRow, Window.currentRow))
     return {
+        _REPEATED: (same_day > 1).cast("int"),
         "this_month_user_receive_same_coupon_lastone": (day == last).cast("int"),
         # Kept as it is defined: the complement of the column above.
         "this_month_user_receive_same_coupon_firstone": (day != last).cast("int"),
@@ -65,19 +70,18 @@ def attach_sequence(rows: DataFrame, hot_users: DataFrame | None = None, within:
     """Add the receipt-order columns to receipts (``date_received`` present)."""
     cold, heavy = skew.split_hot(rows, ["user_id"], hot_users)
     done = _by_window(cold, within)
-    return done if heavy is None else done.unionByName(_by_day(heavy, within))
+    return (done if heavy is None else done.unionByName(_by_day(heavy, within))).drop(_REPEATED)
 
 
 def attach_receipt_features(
     rows: DataFrame, hot_users: DataFrame | None = None, within: Sequence[str] = ()
 ) -> DataFrame:
     """Receipt order and both same-day repeat flags."""
-    repeats = {**COUPON_REPEAT, **MERCHANT_REPEAT}
     cold, heavy = skew.split_hot(rows, ["user_id"], hot_users)
-    done = attach_repeats(_by_window(cold, within), repeats, within=within)
+    done = attach_repeats(_by_window(cold, within), MERCHANT_REPEAT, within=within)
     if heavy is None:
         return done
-    return done.unionByName(attach_repeats(_by_day(heavy, within), repeats, within=within, all_hot=True))
+    return done.unionByName(attach_repeats(_by_day(heavy, within), MERCHANT_REPEAT, within=within, all_hot=True))
 
 
 def first_dates(*logs: DataFrame) -> DataFrame:

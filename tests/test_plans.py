@@ -60,6 +60,13 @@ def test_receipt_order_is_one_window(spark, star_log, tmp_path):
     assert len(re.findall(r"\bWindow \[", text)) == 1
 
 
+def test_receipt_features_sort_twice(spark, star_log, tmp_path):
+    rows = fields.clean(stored_log(spark, star_log, tmp_path / "log")).where(fields.received())
+    text = plan(receipts.attach_receipt_features(rows, within=["discount_raw"]))
+    assert len(exchanges(text)) == 1
+    assert len(re.findall(r"\bSort \[", text)) == 2
+
+
 def test_windows_reach_the_scan(spark, star_log, tmp_path):
     log = stored_log(spark, star_log, tmp_path / "log")
     text = plan(windows.active_in(log, windows.FEATURE_1).select("user_id"))
