@@ -6,6 +6,7 @@ rounded to six places for comparison.
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 from functools import reduce
 
@@ -595,11 +596,28 @@ def entry(spark: SparkSession) -> DataFrame:
     return training_set(spark, ENTRY_FOLDER)
 
 
+def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the training-data operators, where that subpackage and its pipeline are there."""
+    try:
+        found = importlib.util.find_spec("couponlab.llm.queries") and importlib.util.find_spec("corpus_pipeline")
+    except ModuleNotFoundError:
+        found = None
+    if not found:
+        return {}, {}
+    import corpus_pipeline
+    from couponlab.llm import queries as training_data
+
+    sql = dict(training_data.ORACLES)
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**training_data.QUERIES, "pipeline": corpus_pipeline.run}, sql
+
+
 def queries() -> dict[str, Query]:
     """Every query, by name; each takes a session and a folder of tables."""
-    return dict(_QUERIES)
+    return {**_QUERIES, **_training_data()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
     """Equivalent SQL for the queries that have one; models have none."""
-    return oracle_queries.sql()
+    return {**oracle_queries.sql(), **_training_data()[1]}
