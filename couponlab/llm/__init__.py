@@ -1,0 +1,11 @@
+"""Operators for training data.
+
+Functions that run in Python workers travel with their task, so executors need not
+have this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -154,25 +154,22 @@ class Codec:
         return b"".join(map(self._bytes.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
-def _codec(key, shared) -> Codec:
-    if key not in _CODECS:
-        _CODECS[key] = Codec(shared.value, key[1])
-    return _CODECS[key]
+def _codec(shared, pattern: str) -> Codec:
+    """The worker keeps the broadcast value from task to task, and with it the codec and its words."""
+    state = shared.value
+    return state.get("codec") or state.setdefault("codec", Codec(state["ranks"], pattern))
 
 
 def _mapped(rows: DataFrame, source: str, added: list[T.StructField], vocabulary: str, pattern: str, make) -> DataFrame:
     """``rows`` with the columns that ``make(codec, value of source)`` gives for each row."""
-    shared = rows.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    shared = rows.sparkSession.sparkContext.broadcast({"ranks": read_ranks(vocabulary)})
     names = [f.name for f in added]
     kept = rows.drop(*[n for n in names if n != source])
     schema = T.StructType([*kept.schema.fields, *added])
     kinds = {"long": pa.int64(), "string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
 
     def run(batches):
-        codec = _codec((vocabulary, pattern), shared)
+        codec = _codec(shared, pattern)
         for batch in batches:
             made = [make(codec, value.as_py()) for value in batch.column(source)]
             columns = [pa.array([m[i] for m in made], kinds[f.dataType.simpleString()]) for i, f in enumerate(added)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from couponlab.llm.byte_bpe import op5_byte_bpe
 from couponlab.llm.chat_format import op3_chat_format
 from couponlab.llm.secret_scan import op1_secret_scan
+from couponlab.llm.simhash import op8_simhash
 from couponlab.llm.token_counts import op2_token_counts
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
         op2_token_counts,
         op3_chat_format,
         op5_byte_bpe,
+        op8_simhash,
     )
 }
 

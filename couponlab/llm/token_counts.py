@@ -126,22 +126,20 @@ class Counter:
         return len(parts) - 1 + sum(map(self._plain, parts))
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def count_tokens(documents: DataFrame, vocabulary: str, text: str = "text", limit: int = 1024) -> DataFrame:
     """The documents with ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens) of their text.
 
     The driver reads the vocabulary file and broadcasts its rules, a few MB set by the vocabulary alone.
     """
-    rules = documents.sparkSession.sparkContext.broadcast(read_rules(vocabulary))
+    rules = documents.sparkSession.sparkContext.broadcast({"rules": read_rules(vocabulary)})
     kept = documents.drop(*OUTPUT)
     added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
     schema = T.StructType([*kept.schema.fields, *added])
 
     def count(batches):
-        counter = _COUNTERS.setdefault(vocabulary, None) or Counter(rules.value)
-        _COUNTERS[vocabulary] = counter
+        # The worker keeps the broadcast value from task to task, and with it the counter and its words.
+        state = rules.value
+        counter = state.get("counter") or state.setdefault("counter", Counter(state["rules"]))
         for batch in batches:
             n_bytes, n_tokens = [], []
             for value in batch.column(text):
