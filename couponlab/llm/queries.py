@@ -7,6 +7,7 @@ from couponlab.llm.chat_format import op3_chat_format
 from couponlab.llm.secret_scan import op1_secret_scan
 from couponlab.llm.simhash import op8_simhash
 from couponlab.llm.token_counts import op2_token_counts
+from couponlab.llm.winnowing import op4_winnowing
 
 QUERIES = {
     f.__name__: f
@@ -14,6 +15,7 @@ QUERIES = {
         op1_secret_scan,
         op2_token_counts,
         op3_chat_format,
+        op4_winnowing,
         op5_byte_bpe,
         op8_simhash,
     )
