@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from couponlab.llm.byte_bpe import op5_byte_bpe
 from couponlab.llm.chat_format import op3_chat_format
+from couponlab.llm.neighbours_scan import op7_dimension_scan
 from couponlab.llm.quality import op9_quality
 from couponlab.llm.secret_scan import op1_secret_scan
 from couponlab.llm.simhash import op8_simhash
@@ -18,6 +19,7 @@ QUERIES = {
         op3_chat_format,
         op4_winnowing,
         op5_byte_bpe,
+        op7_dimension_scan,
         op8_simhash,
         op9_quality,
     )
