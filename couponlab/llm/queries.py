@@ -6,6 +6,7 @@ from couponlab.llm.byte_bpe import op5_byte_bpe
 from couponlab.llm.chat_format import op3_chat_format
 from couponlab.llm.neighbours_scan import op7_dimension_scan
 from couponlab.llm.quality import op9_quality
+from couponlab.llm.repeats import op10_suffix_dedup
 from couponlab.llm.secret_scan import op1_secret_scan
 from couponlab.llm.simhash import op8_simhash
 from couponlab.llm.token_counts import op2_token_counts
@@ -22,6 +23,7 @@ QUERIES = {
         op7_dimension_scan,
         op8_simhash,
         op9_quality,
+        op10_suffix_dedup,
     )
 }
 
