@@ -166,7 +166,7 @@ def _mapped(rows: DataFrame, source: str, added: list[T.StructField], vocabulary
     names = [f.name for f in added]
     kept = rows.drop(*[n for n in names if n != source])
     schema = T.StructType([*kept.schema.fields, *added])
-    kinds = {"long": pa.int64(), "string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
 
     def run(batches):
         codec = _codec(shared, pattern)
@@ -190,6 +190,21 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids: str = "ids",
     return _mapped(encoded, ids, added, vocabulary, pattern, lambda codec, value: (codec.decode(value or b""),))
 
 
+def tokens(documents: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
+    """The documents with ``ids`` (packed), ``n_tokens`` and ``lossless``: whether the ids decode to the text's bytes."""
+
+    def make(codec, value):
+        packed = codec.encode(value or "")
+        return packed, len(packed) // 4, codec.decode(packed) == (value or "").encode("utf-8")
+
+    added = [
+        T.StructField("ids", T.BinaryType()),
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("lossless", T.BooleanType()),
+    ]
+    return _mapped(documents, text, added, vocabulary, pattern, make)
+
+
 def round_trip(documents: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
     """Encode and decode in one pass: the documents with ``n_tokens`` and digests of the ids and of the decoded bytes."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from couponlab.llm.byte_bpe import op5_byte_bpe
 from couponlab.llm.chat_format import op3_chat_format
+from couponlab.llm.language import op6_language_id
 from couponlab.llm.neighbours_scan import op7_dimension_scan
 from couponlab.llm.quality import op9_quality
 from couponlab.llm.repeats import op10_suffix_dedup
@@ -20,6 +21,7 @@ QUERIES = {
         op3_chat_format,
         op4_winnowing,
         op5_byte_bpe,
+        op6_language_id,
         op7_dimension_scan,
         op8_simhash,
         op9_quality,

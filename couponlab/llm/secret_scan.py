@@ -169,6 +169,12 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, bound(spans, pieces)).otherwise(text)
 
 
+def redacted(documents: DataFrame, text: str = "text") -> DataFrame:
+    """The documents with every found secret masked in the text."""
+    scanned = BlobLedger(documents.sparkSession, fresh_path(documents.sparkSession, "ledger")).scan(documents, text)
+    return scanned.withColumn(text, masked(F.col(text), F.col("spans"))).select(*documents.columns)
+
+
 def op1_secret_scan(spark, folder: str) -> DataFrame:
     """Secrets of every document, by way of a new ledger."""
     documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")

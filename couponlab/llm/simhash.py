@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from couponlab.llm.components import components
-from couponlab.llm.tables import written
+from couponlab.llm.tables import ROW, numbered, written
 
 BITS = 64
 #: Fingerprints of one key that are compared at once.
@@ -177,16 +177,30 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     return ordered.mapInArrow(_compare_groups(distance), "a bigint, b bigint").distinct()
 
 
-def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, distance: int = 4) -> DataFrame:
-    """``key``, ``fingerprint`` and ``component_id``, the smallest key that can be reached, one row for each document."""
-    marked = written(with_fingerprints(documents.select(key, text), text, size).select(key, FINGERPRINT), "fingerprints")
+def groups(marked: DataFrame, key: str, distance: int = 4) -> DataFrame:
+    """For each fingerprint of the table ``marked`` its group's ``label`` and ``component_id``, the group's smallest key."""
     prints = written(marked.groupBy(FINGERPRINT).agg(F.min(key).alias("first")), "distinct-fingerprints")
     labels = components(links(prints, distance)).withColumnRenamed("node", FINGERPRINT)
     named = prints.join(labels, FINGERPRINT, "left").withColumn("label", F.coalesce("label", FINGERPRINT))
     named = written(named, "named-fingerprints")
     roots = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    groups = written(named.join(roots, "label").select(FINGERPRINT, "component_id"), "fingerprint-groups")
-    return marked.join(groups, FINGERPRINT).select(key, FINGERPRINT, "component_id")
+    return written(named.join(roots, "label").select(FINGERPRINT, "label", "component_id"), "fingerprint-groups")
+
+
+def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, distance: int = 4) -> DataFrame:
+    """``key``, ``fingerprint`` and ``component_id``, the smallest key that can be reached, one row for each document."""
+    marked = written(with_fingerprints(documents.select(key, text), text, size).select(key, FINGERPRINT), "fingerprints")
+    return marked.join(groups(marked, key, distance), FINGERPRINT).select(key, FINGERPRINT, "component_id")
+
+
+def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, distance: int = 4) -> DataFrame:
+    """The documents, of each group that with the smallest key (one without a key only if none has one)."""
+    marked = written(with_fingerprints(numbered(documents, "*"), text, size), "fingerprinted")
+    named = marked.select(ROW, key, FINGERPRINT).join(groups(marked, key, distance), FINGERPRINT)
+    # The least of (no key, key, row): combined in each task, so a group of any size sends one row from each.
+    first = named.groupBy("label").agg(F.min(F.struct(F.col(key).isNull().alias("none"), key, ROW)).alias("first"))
+    kept = written(first.select(F.col(f"first.{ROW}").alias(ROW)), "kept-rows")
+    return marked.join(kept, ROW, "left_semi").select(*documents.columns)
 
 
 def hex_digits(value: Column) -> Column:
