@@ -267,7 +267,7 @@ def _interaction(size: int) -> Query:
 
 def receipt_order(spark: SparkSession, folder: str) -> DataFrame:
     rows = _receipts(spark, folder)
-    ordered = receipts.attach_sequence(rows.select("user_id", "merchant_id", "coupon0", "date_received"), _hot_users(rows))
+    ordered = receipts.attach_sequence(rows.select("user_id", "merchant_id", "coupon0", "date_received"))
     return ordered.select(
         "user_id",
         "merchant_id",
@@ -281,7 +281,7 @@ def receipt_order(spark: SparkSession, folder: str) -> DataFrame:
 
 def receipt_gaps(spark: SparkSession, folder: str) -> DataFrame:
     rows = _receipts(spark, folder)
-    ordered = receipts.attach_sequence(rows.select("user_id", "merchant_id", "coupon0", "date_received"), _hot_users(rows))
+    ordered = receipts.attach_sequence(rows.select("user_id", "merchant_id", "coupon0", "date_received"))
     return _rounded(
         ordered.select(
             "user_id",
@@ -305,7 +305,7 @@ def receipt_bounds(spark: SparkSession, folder: str) -> DataFrame:
 
 def repeat_flags(spark: SparkSession, folder: str) -> DataFrame:
     rows = _receipts(spark, folder).select("user_id", "merchant_id", "coupon0", "date_received")
-    return counts.attach_repeats(rows, {**counts.COUPON_REPEAT, **counts.MERCHANT_REPEAT}, _hot_users(rows))
+    return counts.attach_repeats(rows, {**counts.COUPON_REPEAT, **counts.MERCHANT_REPEAT})
 
 
 def first_receipt(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,24 +6,20 @@ Two ways of getting the same numbers:
   all, and one sort serves every chain of nested column sets;
 * all other counts, and the counts of hot users, are taken on the grain: the
   distinct combinations of the columns with their row counts.  Each count is
-  a sum over the grain.  Counts measured to have few groups are broadcast; the
-  rest meet on the grain, which joins back to the rows once.
+  a sum over the grain; they meet there, and the grain joins back to the rows
+  once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import combinations
-from math import prod
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from couponlab.operators import skew
 
-#: Most groups of a count that is broadcast: some tens of megabytes.
-BROADCAST_GROUPS = 200_000
-
 #: Columns the interaction counts combine, in naming order.
 COLUMNS = {
     "user_id": "user_id",
@@ -122,55 +118,21 @@ def _windowed(rows: DataFrame, counts: Mapping[str, list[str]], lead: list[str])
     return result.drop(*texts.values())
 
 
-def _few_groups(rows: DataFrame, counts: Mapping[str, list[str]]) -> set[str]:
-    """Names of the counts with at most ``BROADCAST_GROUPS`` groups.
-
-    The groups of a count are at most the product of the distinct values of
-    its columns.  Where that is too many, the combinations themselves are
-    sketched.  Sketches are taken 20 % up for their error.
-    """
-
-    def sketched(parts: Mapping[str, Column]) -> dict[str, float]:
-        sizes = rows.agg(*[F.approx_count_distinct(part).alias(name) for name, part in parts.items()]).first()
-        return {name: 1.2 * sizes[name] for name in parts}
-
-    values = sketched({c: F.col(c) for keys in counts.values() for c in keys})
-    few = {name for name, keys in counts.items() if prod(values[c] for c in keys) <= BROADCAST_GROUPS}
-    # A combination has at least as many values as any of its columns.
-    unsure = {
-        name: F.xxhash64(*keys)
-        for name, keys in counts.items()
-        if name not in few and len(keys) > 1 and max(values[c] for c in keys) <= BROADCAST_GROUPS
-    }
-    if unsure:
-        few |= {name for name, size in sketched(unsure).items() if size <= BROADCAST_GROUPS}
-    return few
-
-
-def _from_grain(
-    rows: DataFrame, counts: Mapping[str, list[str]], source: DataFrame | None = None, measure: bool = False
-) -> DataFrame:
+def _from_grain(rows: DataFrame, counts: Mapping[str, list[str]], source: DataFrame | None = None) -> DataFrame:
     """Counts taken on the grain of ``source`` (by default ``rows`` itself), joined to ``rows``.
 
-    With ``measure``, counts found to have few groups are broadcast to the
-    rows.  The others meet on the grain, which then joins back once; there a
-    combination with very many copies is split by the adaptive skew join, its
-    one grain row going to each part.
+    The counts meet on the grain, which then joins back once.  How a count
+    meets the grain is left to adaptive execution, which sees its real size.
     """
     source = rows if source is None else source
     columns = list(dict.fromkeys(c for keys in counts.values() for c in keys))
-    base = source.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows_here"))
-    few = _few_groups(source, counts) if measure else set()
-    grain, on_grain = base, False
+    grain = base = source.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows_here"))
     for name, keys in counts.items():
-        total = base.groupBy(*keys).agg(F.sum("rows_here").alias(name))
-        if name in few:
-            rows = rows.join(F.broadcast(total), keys, "left")
-            continue
-        on_grain = True
-        whole = set(keys) == set(columns)
-        grain = grain.withColumn(name, F.col("rows_here")) if whole else grain.join(total, keys, "left")
-    return rows.join(grain.drop("rows_here"), columns, "left") if on_grain else rows
+        if set(keys) == set(columns):
+            grain = grain.withColumn(name, F.col("rows_here"))
+        else:
+            grain = grain.join(base.groupBy(*keys).agg(F.sum("rows_here").alias(name)), keys, "left")
+    return rows.join(grain.drop("rows_here"), columns, "left")
 
 
 def attach_counts(
@@ -178,37 +140,36 @@ def attach_counts(
     counts: Mapping[str, list[str]],
     hot_users: DataFrame | None = None,
     within: Sequence[str] = (),
-    all_hot: bool = False,
 ) -> DataFrame:
     """Add one count column per entry of ``counts``, separately for each ``within``.
 
-    ``rows`` are cleaned receipts: every counted column is filled.  ``all_hot``
-    says that the rows are those of hot users only.
+    ``rows`` are cleaned receipts: every counted column is filled.
     """
     counts = {name: [*within, *keys] for name, keys in counts.items()}
     led = {name: keys for name, keys in counts.items() if "user_id" in keys}
     rest = {name: keys for name, keys in counts.items() if "user_id" not in keys}
     result = rows
-    if led and all_hot:
-        result = _from_grain(rows, led)
-    elif led:
+    if led:
         cold, heavy = skew.split_hot(rows, ["user_id"], hot_users)
         result = _windowed(cold, led, [*within, "user_id"])
         if heavy is not None:
             result = result.unionByName(_from_grain(heavy, led))
-    return _from_grain(result, rest, source=rows, measure=True) if rest else result
+    return _from_grain(result, rest, source=rows) if rest else result
 
 
 def attach_repeats(
-    rows: DataFrame,
-    flags: Mapping[str, list[str]],
-    hot_users: DataFrame | None = None,
-    within: Sequence[str] = (),
-    all_hot: bool = False,
+    rows: DataFrame, flags: Mapping[str, list[str]], within: Sequence[str] = (), source: DataFrame | None = None
 ) -> DataFrame:
-    """Add 1 where the combination occurs more than once, else 0."""
-    rows = attach_counts(rows, flags, hot_users, within, all_hot)
-    return rows.withColumns({name: (F.col(name) > 1).cast("int") for name in flags})
+    """Add 1 where the combination occurs more than once in ``source`` (by default ``rows``), else 0.
+
+    Combinations are counted before they are shuffled.
+    """
+    source = rows if source is None else source
+    for name, keys in flags.items():
+        keys = [*within, *keys]
+        counted = source.groupBy(*keys).agg((F.count(F.lit(1)) > 1).cast("int").alias(name))
+        rows = rows.join(counted, keys, "left")
+    return rows
 
 
 def attach_basic_counts(rows: DataFrame, hot_users: DataFrame | None = None) -> DataFrame:

@@ -57,7 +57,7 @@ def mismatches(predictions: DataFrame, label: str = "label", prediction: str = "
 
 
 def global_auc(predictions: DataFrame, label: str = "label", raw: str = "rawPrediction") -> float:
-    """ROC AUC over all rows."""
-    return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=raw, metricName="areaUnderROC").evaluate(
-        predictions
-    )
+    """ROC AUC over all rows, exact: the curve keeps a point for every distinct score."""
+    return BinaryClassificationEvaluator(
+        labelCol=label, rawPredictionCol=raw, metricName="areaUnderROC", numBins=0
+    ).evaluate(predictions)

@@ -150,7 +150,7 @@ def fit_elastic_net(
     search = CrossValidator(
         estimator=Pipeline(stages=stages),
         estimatorParamMaps=points,
-        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
+        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0),
         numFolds=folds,
         foldCol="fold",
         parallelism=parallelism,

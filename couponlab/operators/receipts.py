@@ -1,15 +1,15 @@
 """Receipt-order features within a user and coupon.
 
-The order of receipts matters by day only, so a hot user's receipts are first
-reduced to one row per user, coupon and day; a window over those holds at
-most one row per calendar day.
+The order of receipts matters by day only, so receipts are first reduced to one
+row per user, coupon and day; a window over those holds at most one row per
+calendar day, whatever the number of receipts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from couponlab.operators import skew
@@ -29,59 +29,43 @@ SEQUENCE_COLUMNS = [
 (_REPEATED,) = COUPON_REPEAT
 
 
-def _sequence(weight: Column, within: Sequence[str]) -> dict[str, Column]:
-    """The columns over (``within``, user, coupon) ordered by day.
+def _by_day(rows: DataFrame, within: Sequence[str]) -> DataFrame:
+    """Receipts with the columns of their user, coupon and day.
 
-    ``weight`` is the number of receipts a row stands for.  All frames share
-    one ordering, so they run in a single window operator.
+    Days are counted before they are shuffled, and a group of days is bounded
+    by the calendar.  The window's partitioning is not that of the join, so
+    the join shuffles both sides itself and adaptive execution can split a
+    day with very many copies.
     """
+    group = [*within, "user_id", "coupon0"]
+    days = rows.groupBy(*group, "date_received").agg(F.count(F.lit(1)).alias("receipts"))
     day = F.unix_date("date_received")
-    by_day = Window.partitionBy(*within, "user_id", "coupon0").orderBy(day)
-    whole = by_day.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    earlier = by_day.rangeBetween(Window.unboundedPreceding, -1)
-    later = by_day.rangeBetween(1, Window.unboundedFollowing)
+    whole = Window.partitionBy(*group)
+    ordered = whole.orderBy("date_received")
     first, last = F.min(day).over(whole), F.max(day).over(whole)
-    same_day = F.sum(weight).over(by_day.rangeBetween(Window.currentRow, Window.currentRow))
-    return {
-        _REPEATED: (same_day > 1).cast("int"),
+    columns = {
+        _REPEATED: (F.col("receipts") > 1).cast("int"),
         "this_month_user_receive_same_coupon_lastone": (day == last).cast("int"),
         # Kept as it is defined: the complement of the column above.
         "this_month_user_receive_same_coupon_firstone": (day != last).cast("int"),
         "is_first_receipt": (day == first).cast("int"),
-        "day_gap_before": F.coalesce(day - F.max(day).over(earlier), F.lit(-1)),
-        "day_gap_after": F.coalesce(F.min(day).over(later) - day, F.lit(-1)),
+        "day_gap_before": F.coalesce(day - F.lag(day).over(ordered), F.lit(-1)),
+        "day_gap_after": F.coalesce(F.lead(day).over(ordered) - day, F.lit(-1)),
         # Gaps between neighbours add up to the span.
         "gap_sum": last - first,
-        "gap_mean": (last - first) / F.sum(weight).over(whole),
+        "gap_mean": (last - first) / F.sum("receipts").over(whole),
     }
+    return rows.join(days.withColumns(columns).drop("receipts"), [*group, "date_received"], "left")
 
 
-def _by_window(rows: DataFrame, within: Sequence[str]) -> DataFrame:
-    return rows.repartition(*within, "user_id").withColumns(_sequence(F.lit(1), within))
-
-
-def _by_day(rows: DataFrame, within: Sequence[str]) -> DataFrame:
-    keys = [*within, "user_id", "coupon0", "date_received"]
-    days = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("receipts"))
-    return rows.join(days.withColumns(_sequence(F.col("receipts"), within)).drop("receipts"), keys, "left")
-
-
-def attach_sequence(rows: DataFrame, hot_users: DataFrame | None = None, within: Sequence[str] = ()) -> DataFrame:
+def attach_sequence(rows: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Add the receipt-order columns to receipts (``date_received`` present)."""
-    cold, heavy = skew.split_hot(rows, ["user_id"], hot_users)
-    done = _by_window(cold, within)
-    return (done if heavy is None else done.unionByName(_by_day(heavy, within))).drop(_REPEATED)
+    return _by_day(rows, within).drop(_REPEATED)
 
 
-def attach_receipt_features(
-    rows: DataFrame, hot_users: DataFrame | None = None, within: Sequence[str] = ()
-) -> DataFrame:
+def attach_receipt_features(rows: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Receipt order and both same-day repeat flags."""
-    cold, heavy = skew.split_hot(rows, ["user_id"], hot_users)
-    done = attach_repeats(_by_window(cold, within), MERCHANT_REPEAT, within=within)
-    if heavy is None:
-        return done
-    return done.unionByName(attach_repeats(_by_day(heavy, within), MERCHANT_REPEAT, within=within, all_hot=True))
+    return attach_repeats(_by_day(rows, within), MERCHANT_REPEAT, within, source=rows)
 
 
 def first_dates(*logs: DataFrame) -> DataFrame:

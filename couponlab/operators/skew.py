@@ -1,32 +1,38 @@
 """Hot keys: finding them and joining around them.
 
 A key is hot when it has more rows than one task should sort or join.  Hot
-keys are found by one aggregate that reads the key columns only.  The list is
-short by construction (``MAX_HOT_KEYS``), so it may be broadcast; it decides
-only *how* a row is processed, never whether, so results do not depend on it.
+keys are found by one aggregate that reads the key columns only, and are kept
+as a table with their row counts, however many there are.  The list decides
+only *how* a row is processed, never whether, so results do not depend on it;
+how it is joined is left to Spark, which knows its size.
 """
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from couponlab.session import checkpoint_dir
+
 #: Rows of one key a single task handles comfortably.
 HOT_ROWS = 1_000_000
 
-#: Partitions the rows of a hot key are spread over in a join.
-SALTS = 32
 
-#: The longest hot-key list.  A key left off it takes the ordinary path.
-MAX_HOT_KEYS = 10_000
+def _stored(counted: DataFrame) -> DataFrame:
+    """The list as a table on shared storage."""
+    spark = counted.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/hot-keys-{uuid4().hex}"
+    counted.write.parquet(path)
+    return spark.read.schema(counted.schema).parquet(path)
 
 
 def hot_keys(rows: DataFrame, keys: list[str], floor: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``floor`` rows, or None when there are none."""
+    """Keys with more than ``floor`` rows and their ``rows_of_key``, or None when there are none."""
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_of_key")).where(F.col("rows_of_key") > floor)
-    heaviest = counted.orderBy(F.desc("rows_of_key")).limit(MAX_HOT_KEYS).select(*keys)
-    found = heaviest.collect()
-    return rows.sparkSession.createDataFrame(found, heaviest.schema) if found else None
+    found = _stored(counted)
+    return None if found.isEmpty() else found
 
 
 def hot_ids(rows: DataFrame, columns: list[str], floor: int = HOT_ROWS) -> dict[str, DataFrame | None]:
@@ -37,35 +43,37 @@ def hot_ids(rows: DataFrame, columns: list[str], floor: int = HOT_ROWS) -> dict[
     """
     tagged = F.inline(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("id")) for c in columns]))
     counted = rows.select(tagged).groupBy("kind", "id").agg(F.count(F.lit(1)).alias("rows_of_key"))
-    heavy = counted.where(F.col("rows_of_key") > floor).orderBy(F.desc("rows_of_key")).limit(MAX_HOT_KEYS).collect()
-    hot: dict[str, DataFrame | None] = {}
-    for column in columns:
-        found = [(row["id"],) for row in heavy if row["kind"] == column]
-        hot[column] = rows.sparkSession.createDataFrame(found, f"{column} bigint") if found else None
-    return hot
+    heavy = _stored(counted.where(F.col("rows_of_key") > floor))
+    kinds = {row["kind"] for row in heavy.select("kind").distinct().collect()}
+    return {
+        column: heavy.where(F.col("kind") == column).select(F.col("id").alias(column), "rows_of_key") if column in kinds else None
+        for column in columns
+    }
 
 
 def split_hot(rows: DataFrame, keys: list[str], hot: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary keys, and rows of hot keys (None when there are none)."""
     if hot is None:
         return rows, None
-    return rows.join(F.broadcast(hot), keys, "left_anti"), rows.join(F.broadcast(hot), keys, "left_semi")
+    return rows.join(hot, keys, "left_anti"), rows.join(hot, keys, "left_semi")
 
 
-def left_join(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: DataFrame | None = None) -> DataFrame:
+def left_join(
+    rows: DataFrame, lookup: DataFrame, keys: list[str], hot: DataFrame | None = None, share: int = HOT_ROWS // 4
+) -> DataFrame:
     """Left join to a table with one row per ``keys``; ``hot`` is keyed by some of them.
 
-    Rows of a hot key are spread over ``SALTS`` partitions by a hash of the
-    row, and its lookup row is repeated for each; all other rows keep salt 0.
-    The hash is the same on every retry of a task.  Copies of one row share a
-    salt; should they alone be very many, the adaptive skew join splits them.
-    Neither side is evaluated more than once.
+    Rows of a hot key are spread by a hash of the row, as thin as ``share``
+    rows to a salt by the key's counted rows, and its lookup row is repeated
+    for each salt; all other rows keep salt 0.  The hash is the same on every
+    retry of a task.  Copies of one row share a salt.
     """
     if hot is None:
         return rows.join(lookup, keys, "left")
-    marks = F.broadcast(hot.withColumn("spread", F.lit(SALTS)))
-    own = F.when(F.col("spread").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    by = [c for c in hot.columns if c != "rows_of_key"]
+    marks = hot.select(*by, F.ceil(F.col("rows_of_key") / share).cast("int").alias("spread"))
+    own = F.when(F.col("spread").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("spread")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1))
-    left = rows.join(marks, hot.columns, "left").withColumn("salt", own).drop("spread")
-    right = lookup.join(marks, hot.columns, "left").withColumn("salt", every).drop("spread")
+    left = rows.join(marks, by, "left").withColumn("salt", own).drop("spread")
+    right = lookup.join(marks, by, "left").withColumn("salt", every).drop("spread")
     return left.join(right, [*keys, "salt"], "left").drop("salt")

@@ -114,7 +114,7 @@ def assemble(
     joins gives the same rows as after.
     """
     hot = hot or {}
-    rows = receipts.attach_receipt_features(dataset.where(fields.received()), hot.get("user_id"), within)
+    rows = receipts.attach_receipt_features(dataset.where(fields.received()), within)
     if distinct:
         rows = rows.dropDuplicates([*within, *(c for c in fields.RAW_COLUMNS if c in rows.columns)])
     return attach_entities(encode(rows), history, hot, within=within)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 
 from pyspark.sql import SparkSession
 
@@ -35,16 +35,16 @@ def build_session(name: str = "couponlab", master: str | None = None, **extra: s
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints, from ``spark.checkpoint.dir``.
 
-    On a cluster the setting must name shared storage.  Only a local session
-    without the setting gets a temporary folder of its own.
+    On a cluster the setting must name shared storage.  A session on one
+    machine without the setting uses a folder below its warehouse.
     """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder before fitting models on a cluster")
-        folder = tempfile.mkdtemp(prefix="couponlab-checkpoint-")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a shared folder on a cluster")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
