@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -12,14 +13,14 @@ import __spark_entry__ as driver
 from conftest import FOLDER
 
 QUERIES, SQL = driver.queries(), driver.oracle_sql()
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for table in ("lineitem", "orders", "embeddings"):
-        connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    for path in Path(FOLDER).glob("*.parquet"):
+        connection.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     return connection
 
 
