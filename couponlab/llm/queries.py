@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from couponlab.llm import oracles
 from couponlab.llm.byte_bpe import op5_byte_bpe
 from couponlab.llm.chat_format import op3_chat_format
 from couponlab.llm.language import op6_language_id
@@ -29,4 +30,8 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_secret_scan": oracles.SECRETS,
+    "op3_chat_format": oracles.CHATS,
+    "op4_winnowing": oracles.WINDOWS,
+}
