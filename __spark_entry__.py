@@ -387,15 +387,18 @@ def assemble_v0(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(datasets.assemble_v0(sets, datasets.find_hot(log)))
 
 
-def three_fields(spark: SparkSession, folder: str) -> DataFrame:
-    log = _clean(spark, folder)
-    built = datasets.three_fields(
-        windows.received_in(log, windows.HISTORY_FIELDS["train"]),
-        windows.bought_in(log, windows.MIDDLE_FIELDS["train"]),
-        windows.received_in(log, windows.LABEL_FIELDS["train"]),
-        datasets.find_hot(log),
-    )
-    return _rounded(built)
+def _three_fields(name: str) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        log = _clean(spark, folder)
+        built = datasets.three_fields(
+            windows.received_in(log, windows.HISTORY_FIELDS[name]),
+            windows.bought_in(log, windows.MIDDLE_FIELDS[name]),
+            windows.received_in(log, windows.LABEL_FIELDS[name]),
+            datasets.find_hot(log),
+        )
+        return _rounded(built)
+
+    return run
 
 
 # --- evaluation ---------------------------------------------------------------
@@ -421,7 +424,10 @@ def mismatch_count(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def global_auc(spark: SparkSession, folder: str) -> DataFrame:
-    auc = evaluation.global_auc(_pseudo_scores(spark, folder), raw="prob")
+    # Many thousands of distinct scores, so that a thinned curve would show.
+    score = F.pmod(F.col("user_id") * 7919 + F.col("coupon0") * 31, F.lit(100003)) / 100003
+    scores = fields.with_label(_receipts(spark, folder)).select("label", score.alias("prob"))
+    auc = evaluation.global_auc(scores, raw="prob")
     return _rounded(spark.createDataFrame([(auc,)], "auc double"))
 
 
@@ -457,7 +463,9 @@ def gbt_offline_auc(spark: SparkSession, folder: str) -> DataFrame:
         rows = windows.received_in(log, windows.HISTORY_FIELDS[name])
         return fields.with_label(datasets.basic_set(rows, hot))
 
-    return scoring.evaluate_offline(built("train"), built("validate"))
+    return scoring.evaluate_offline(
+        built("train"), built("validate"), datasets.FIRST_PIPELINE_LEAVES_OUT, **scoring.FIRST_BOOSTER
+    )
 
 
 def _linear_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -470,6 +478,19 @@ def elastic_net_cv(spark: SparkSession, folder: str) -> DataFrame:
     return models.grid_results(search, spark)
 
 
+def _linear_split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    split = models.cut_lineage(windows.stratified_split(_linear_rows(spark, folder)))
+    return split.where(F.col("split") == "train"), split.where(F.col("split") == "validate")
+
+
+def linear_score(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.score_linear(*_linear_split(spark, folder))
+
+
+def linear_auc(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.evaluate_linear(*_linear_split(spark, folder))
+
+
 def _exploration(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     log = _log(spark, folder)
     rows = log.select(
@@ -570,7 +591,8 @@ _QUERIES: dict[str, Query] = {
     "scoring_set": scoring_set,
     "basic_set": basic_set,
     "assemble_v0": assemble_v0,
-    "three_fields": three_fields,
+    "three_fields": _three_fields("train"),
+    "three_fields_validate": _three_fields("validate"),
     "coupon_auc": coupon_auc,
     "mean_coupon_auc": mean_coupon_auc,
     "mismatch_count": mismatch_count,
@@ -581,6 +603,8 @@ _QUERIES: dict[str, Query] = {
     "gbt_importance": gbt_importance,
     "gbt_offline_auc": gbt_offline_auc,
     "elastic_net_cv": elastic_net_cv,
+    "linear_score": linear_score,
+    "linear_auc": linear_auc,
     "naive_bayes_gaussian": _predicted(
         lambda train: models.fit_naive_bayes(train, models.EXPLORATION_PREDICTORS, kind="gaussian")
     ),

@@ -19,10 +19,11 @@ Hot = Mapping[str, DataFrame | None]
 
 KEYS = ["user_id", "merchant_id", "coupon0"]
 
-#: Columns that identify or describe a row but are not model inputs.
+#: Columns that are not model inputs: user, coupon and date, raw texts, the
+#: label, the gaps that the final pipeline drops, and ``is_first_receipt``,
+#: which is no contest feature but the correction of one.
 NOT_MODEL_INPUTS = {
     "user_id",
-    "merchant_id",
     "coupon_id",
     "coupon0",
     "discount_raw",
@@ -55,9 +56,13 @@ def encode(rows: DataFrame) -> DataFrame:
     )
 
 
-def model_inputs(rows: DataFrame) -> list[str]:
-    """Columns a model may use, in table order."""
-    return [c for c in rows.columns if c not in NOT_MODEL_INPUTS]
+#: What the first pipeline leaves out besides.
+FIRST_PIPELINE_LEAVES_OUT = ("distance",)
+
+
+def model_inputs(rows: DataFrame, leave_out: Sequence[str] = ()) -> list[str]:
+    """Columns a model may use, in table order, without those of ``leave_out``."""
+    return [c for c in rows.columns if c not in NOT_MODEL_INPUTS and c not in leave_out]
 
 
 def label_last(rows: DataFrame) -> DataFrame:

@@ -423,16 +423,16 @@ def _prefixed(text: str, prefix: str) -> str:
     )
 
 
-def _three_fields() -> str:
+def _three_fields(name: str) -> str:
     users = USER_COUNTS + "," + USER_MERCHANTS
     parts = []
     for tag, prefix, where in (
-        ("h", "history_", _between("date_received", *HISTORY["train"])),
-        ("w", "middle_", _between("date_used", *MIDDLE["train"])),
+        ("h", "history_", _between("date_received", *HISTORY[name])),
+        ("w", "middle_", _between("date_used", *MIDDLE[name])),
     ):
         named = [_prefixed(text, prefix) for text in (users, MERCHANT_COUNTS_V0, COUPON_ALL)]
         parts.append(_tables(tag, where, *named))
-    rows = _basic_rows(_between("date_received", *LABEL["train"]), CLEAN_COLUMNS + ", row_id")
+    rows = _basic_rows(_between("date_received", *LABEL[name]), CLEAN_COLUMNS + ", row_id")
     first = _entity_join("r", "uh", "mh", "kh")
     second = _entity_join("a", "uw", "mw", "kw")
     return f"""WITH {CLEAN}, {', '.join(parts)}, r AS ({rows}), a AS ({first}), b AS ({second})
@@ -629,13 +629,16 @@ def sql() -> dict[str, str]:
         "basic_set": f"""WITH {CLEAN} {_basic_rows(_between('date_received', *HISTORY['train']),
             CLEAN_COLUMNS + ', label')}""",
         "assemble_v0": _v0_set(),
-        "three_fields": _three_fields(),
+        "three_fields": _three_fields("train"),
+        "three_fields_validate": _three_fields("validate"),
         "coupon_auc": f"WITH {SCORES} SELECT coupon0, positives, negatives, round(auc, 6) AS auc FROM a",
         "mean_coupon_auc": f"WITH {SCORES} SELECT round(avg(auc), 6) AS mean_auc, count(*) AS coupons FROM a",
         "mismatch_count": f"""WITH {SCORES} SELECT
             count(*) FILTER (WHERE CAST(prob > 0.5 AS INT) <> label) AS mismatches, count(*) AS "rows" FROM s""",
-        "global_auc": f"""WITH {SCORES}, w AS (SELECT label, rank() OVER (ORDER BY prob)
-              + (count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS place FROM s),
+        "global_auc": f"""WITH {CLEAN},
+            f AS (SELECT label, CAST((user_id * 7919 + coupon0 * 31) % 100003 AS DOUBLE) / 100003 AS prob FROM c WHERE recv),
+            w AS (SELECT label, rank() OVER (ORDER BY prob)
+              + (count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS place FROM f),
             t AS (SELECT count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label <> 1) AS q,
                          sum(place) FILTER (WHERE label = 1) AS places FROM w)
             SELECT round((places - p * (p + 1) / 2.0) / (CAST(p AS DOUBLE) * q), 6) AS auc FROM t""",
