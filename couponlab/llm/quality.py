@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from couponlab.llm.tables import set_aside
 from couponlab.llm.word_cache import TwoGenerations
 
 #: Buckets of the hashed features, numbers of a vector, lengths of the n-grams.
@@ -177,6 +178,12 @@ def score(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     return kept.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def accepted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that are not rejected."""
+    own, back = set_aside(documents, *OUTPUT)
+    return score(own, labels, key, text).where("predicted = 1").select(*back)
+
+
 def op9_quality(spark, folder: str) -> DataFrame:
     """Quality of every document, learned from the labels of rows that are not held out."""
     documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")

@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from couponlab.llm.tables import bound, fresh_path, running_starts, shuffles_dropped, text_or_empty, written
+from couponlab.llm.tables import bound, fresh_path, running_starts, set_aside, shuffles_dropped, text_or_empty, written
 
 BLOB = "blob_id"
 SPANS = "array<struct<start:bigint,`order`:int,kind:string,`end`:bigint>>"
@@ -171,8 +171,9 @@ def masked(text: Column, spans: Column) -> Column:
 
 def redacted(documents: DataFrame, text: str = "text") -> DataFrame:
     """The documents with every found secret masked in the text."""
-    scanned = BlobLedger(documents.sparkSession, fresh_path(documents.sparkSession, "ledger")).scan(documents, text)
-    return scanned.withColumn(text, masked(F.col(text), F.col("spans"))).select(*documents.columns)
+    own, back = set_aside(documents, *OUTPUT)
+    scanned = BlobLedger(documents.sparkSession, fresh_path(documents.sparkSession, "ledger")).scan(own, text)
+    return scanned.withColumn(text, masked(F.col(text), F.col("spans"))).select(*back)
 
 
 def op1_secret_scan(spark, folder: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from couponlab.llm.components import components
-from couponlab.llm.tables import ROW, numbered, written
+from couponlab.llm.tables import ROW, numbered, set_aside, written
 
 BITS = 64
 #: Fingerprints of one key that are compared at once.
@@ -195,12 +195,13 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, distance: int = 4) -> DataFrame:
     """The documents, of each group that with the smallest key (one without a key only if none has one)."""
-    marked = written(with_fingerprints(numbered(documents, "*"), text, size), "fingerprinted")
+    own, back = set_aside(documents, FINGERPRINT, "label", "component_id")
+    marked = written(with_fingerprints(numbered(own, "*"), text, size), "fingerprinted")
     named = marked.select(ROW, key, FINGERPRINT).join(groups(marked, key, distance), FINGERPRINT)
     # The least of (no key, key, row): combined in each task, so a group of any size sends one row from each.
     first = named.groupBy("label").agg(F.min(F.struct(F.col(key).isNull().alias("none"), key, ROW)).alias("first"))
     kept = written(first.select(F.col(f"first.{ROW}").alias(ROW)), "kept-rows")
-    return marked.join(kept, ROW, "left_semi").select(*documents.columns)
+    return marked.join(kept, ROW, "left_semi").select(*back)
 
 
 def hex_digits(value: Column) -> Column:

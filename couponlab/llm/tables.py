@@ -52,6 +52,12 @@ def numbered(rows: DataFrame, *columns: Column | str) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias(ROW), *columns)
 
 
+def set_aside(rows: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``rows`` with columns of these names renamed, and the columns that bring the rows back as they were."""
+    hidden = {c: f"__own_{c}" for c in rows.columns if c in names}
+    return rows.withColumnsRenamed(hidden), [F.col(hidden.get(c, c)).alias(c) for c in rows.columns]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

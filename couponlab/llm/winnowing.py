@@ -207,9 +207,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that no benchmark window occurs in.  Equal texts share their fate, so they are told apart by content."""
     content = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    found = contamination(documents.select(content.alias("content"), text), benchmark, "content", text)
-    hit = found.where("contaminated").select("content").distinct()
-    return documents.join(hit, content == F.col("content"), "left_anti")
+    found = contamination(documents.select(content.alias("__content"), text), benchmark, "__content", text)
+    hit = found.where("contaminated").select("__content").distinct()
+    return documents.join(hit, content == F.col("__content"), "left_anti")
 
 
 def op4_winnowing(spark, folder: str) -> DataFrame:

@@ -36,7 +36,14 @@ def test_first_stage_keeps_what_scores_well(spark):
 
 def test_odd_documents_pass_all_stages(spark):
     rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "", "en", "s", 0), (3, "ok then", "en", None, 7)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for name, stage in corpus_pipeline.STAGES:
+    clashing = ["fingerprint", "label", "component_id", "score", "predicted", "spans", "blob_id", "content", "ids", "n_words"]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in clashing)
+    docs = spark.createDataFrame([(*r, *clashing) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.written(stage(spark, docs, FOLDER), f"odd-{name}")
-    assert docs.where("not lossless").count() == 0
+        assert all(tuple(r[c] for c in clashing) == tuple(clashing) for r in docs.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).where("not lossless").count() == 0
+    empty = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = corpus_pipeline.written(stage(spark, empty, FOLDER), f"empty-{name}")
+    assert empty.count() == 0
