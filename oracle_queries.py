@@ -441,6 +441,45 @@ SELECT * EXCLUDE (merchant_id, discount_raw, date_used),
 FROM b"""
 
 
+_BAYES_INPUTS = ("user_id", "merchant_id", "coupon0", "discount_share", "distance")
+
+
+def _naive_bayes(kind: str) -> str:
+    """Closed forms of both classifiers on the positional split."""
+    each = range(len(_BAYES_INPUTS))
+    sums = ", ".join(f"sum(x{j}) AS s{j}, sum(x{j} * x{j}) AS q{j}" for j in each)
+    if kind == "multinomial":
+        whole = " + ".join(f"s{j}" for j in each)
+        facts = ", ".join(f"ln(s{j} + 0.1) - ln({whole} + 0.5) AS t{j}" for j in each)
+        prior = "ln(n + 0.1) - ln(sum(n) OVER () + 0.1 * count(*) OVER ())"
+        parts = " + ".join(f"x{j} * t{j}" for j in each)
+        spread = "count(*)"
+    else:
+        # A billionth of the greatest variance of any input is added to each.
+        spread = "1e-9 * greatest(" + ", ".join(f"var_samp(x{j})" for j in each) + ")"
+        facts = ", ".join(f"s{j} / n AS m{j}, q{j} / n - (s{j} / n) * (s{j} / n) + least AS v{j}" for j in each)
+        prior = "ln(n) - ln(sum(n) OVER ())"
+        parts = "-0.5 * (" + " + ".join(f"ln(v{j}) + (x{j} - m{j}) * (x{j} - m{j}) / v{j}" for j in each) + ")"
+    inputs = ", ".join(f"CAST({name} AS DOUBLE) AS x{j}" for j, name in enumerate(_BAYES_INPUTS))
+    return f"""WITH {LOG}, e AS (SELECT row_id, user_id, merchant_id, coalesce(coupon_id, 0) AS coupon0,
+            CASE WHEN contains(discount_raw, ':') THEN CAST(split_part(discount_raw, ':', 2) AS DOUBLE)
+              / CAST(split_part(discount_raw, ':', 1) AS DOUBLE) ELSE 0 END AS discount_share,
+            coalesce(distance, 0) AS distance, coalesce(date_received, date_used) AS event_date,
+            CASE WHEN coupon_id IS NULL THEN (CASE WHEN date_used IS NULL THEN -2 ELSE -1 END)
+                 WHEN date_used IS NULL THEN 0 ELSE 1 END AS label FROM log),
+        p AS (SELECT *, {inputs}, count(*) OVER () AS n_all,
+            row_number() OVER (ORDER BY event_date NULLS FIRST, md5(row_id), row_id) AS place FROM e),
+        train AS (SELECT * FROM p WHERE place <= n_all * 1500000 // 1754884),
+        test AS (SELECT * FROM p WHERE place > n_all * 1500000 // 1754884),
+        g AS (SELECT label AS class, CAST(count(*) AS DOUBLE) AS n, {sums} FROM train GROUP BY label),
+        a AS (SELECT {spread} AS least FROM train),
+        f AS (SELECT class, {prior} AS prior, {facts} FROM g, a),
+        s AS (SELECT row_id, user_id, coupon0, label, class, prior + {parts} AS score FROM test, f)
+        SELECT user_id, coupon0, label, prediction FROM
+          (SELECT user_id, coupon0, label, class AS prediction, row_number() OVER (PARTITION BY row_id ORDER BY score DESC) AS k FROM s)
+        WHERE k = 1"""
+
+
 SCORES = f"""{CLEAN},
 s AS (SELECT coupon0, label, CAST((user_id * 31 + coupon0) % 101 AS DOUBLE) / 101 AS prob FROM c WHERE recv),
 ranked AS (SELECT *, rank() OVER (PARTITION BY coupon0 ORDER BY prob)
@@ -642,6 +681,8 @@ def sql() -> dict[str, str]:
             t AS (SELECT count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label <> 1) AS q,
                          sum(place) FILTER (WHERE label = 1) AS places FROM w)
             SELECT round((places - p * (p + 1) / 2.0) / (CAST(p AS DOUBLE) * q), 6) AS auc FROM t""",
+        "naive_bayes_gaussian": _naive_bayes("gaussian"),
+        "naive_bayes_multinomial": _naive_bayes("multinomial"),
         "scaled_predictors": _scaled(),
         "knn_vote": KNN,
     }
