@@ -10,7 +10,7 @@ below the period that brings both into it.  So:
 2. The suffixes at cover places are sorted by their first ``LENGTH - PERIOD + 1`` bytes,
    a bucket to a task.  What comes back to a block is, for each cover suffix, whether
    another document has the same.  Only suffixes within a period before such a place
-   can repeat.
+   can repeat; the blocks are written again with a bit for each.
 3. Those are sorted by their first LENGTH bytes, ``TURNS`` groups of buckets one after
    the other; each turn drops its shuffle before the next begins.  What comes back is
    whether the suffix starts in an earlier block.
@@ -43,6 +43,8 @@ from couponlab.llm.tables import partitions, written
 LENGTH = 50
 #: A perfect difference cover: every step modulo the period is a difference of two members.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
+#: Bytes that two strings of LENGTH still share at the place where the cover meets both.
+COVER_LENGTH = LENGTH - PERIOD + 1
 #: Bytes of a block, and of the text whose suffixes share a bucket, about.
 BLOCK = 1 << 20
 BUCKET = 1 << 22
@@ -56,7 +58,7 @@ RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_
 
 
 class Block:
-    """Texts of one block, joined, with their cover suffixes and those that may repeat."""
+    """Texts of one block, joined, and the strings in them."""
 
     def __init__(self, ids, sizes, data: bytes, buckets: int, powers: Powers):
         self.ids, self.sizes = np.asarray(ids, np.int64), np.asarray(sizes, np.int64)
@@ -68,52 +70,48 @@ class Block:
         self._buckets, self._powers = buckets, powers
         self._sums = prefix_sums(self.data, powers)
 
-    def _strings(self, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Fingerprints of the strings at the places, each once in order; which a place has; its first and last document."""
-        prints = ranges(self._sums, places, places + size, self._powers)
-        order = np.argsort(prints, kind="stable")
+    def prints(self, places: np.ndarray, size: int) -> np.ndarray:
+        return ranges(self._sums, places, places + size, self._powers)
+
+    def distinct(self, places: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each fingerprint once, in order; which a place has; its first and last document."""
+        order = np.argsort(prints)
         ordered, documents = prints[order], self.document[places[order]]
-        new = np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)]
+        new = np.ones(len(ordered), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
         which = np.empty(len(places), np.int64)
         which[order] = np.cumsum(new) - 1
         starts = np.flatnonzero(new)
-        lasts = np.r_[starts[1:], len(ordered)][: len(starts)] - 1
-        return ordered[starts], which, documents[starts], documents[lasts]
+        if not len(starts):
+            return ordered, which, starts, starts
+        return ordered[starts], which, np.minimum.reduceat(documents, starts), np.maximum.reduceat(documents, starts)
 
     def bounds(self, prints: np.ndarray) -> np.ndarray:
         """Where each bucket of the sorted fingerprints begins."""
         return np.r_[0, np.searchsorted(prints, self._edges), len(prints)]
 
-    def cover(self):
+    def cover(self) -> np.ndarray:
+        """Cover places with a whole string before their document ends."""
         place = np.arange(len(self.data)) - (self.end - self.sizes[self.document])
         member = np.isin(np.arange(PERIOD), COVER)[place % PERIOD]
-        self.places = np.flatnonzero(member & (np.arange(len(self.data)) + LENGTH - PERIOD + 1 <= self.end))
-        return self._strings(self.places, LENGTH - PERIOD + 1)
+        return np.flatnonzero(member & (np.arange(len(self.data)) + COVER_LENGTH <= self.end))
 
-    def suspects(self, elsewhere: np.ndarray):
-        """Strings of LENGTH bytes near cover suffixes that another document has; ``elsewhere``: one bit a cover string."""
-        _, which, first, last = self.cover()
-        shared = self.places[(elsewhere.astype(bool) | (first != last))[which]]
+    def suspects(self, shared: np.ndarray) -> np.ndarray:
+        """Whether a string of LENGTH bytes from a place may repeat: one of the shared cover places is in its first period."""
         near = np.zeros(len(self.data) + 1, np.int32)
         begins = (self.end - self.sizes[self.document])[shared]
         np.add.at(near, np.maximum(shared - PERIOD + 1, begins), 1)
         np.add.at(near, shared + 1, -1)
-        whole = np.arange(len(self.data)) + LENGTH <= self.end
-        self.starts = np.flatnonzero((np.cumsum(near[:-1]) > 0) & whole)
-        return self._strings(self.starts, LENGTH)
-
-    def second_prints(self, which: np.ndarray, count: int) -> np.ndarray:
-        """32 more bits for each string, from a hash of its halves."""
-        some = np.zeros(count, np.int64)
-        some[which] = self.starts
+        return (np.cumsum(near[:-1]) > 0) & (np.arange(len(self.data)) + LENGTH <= self.end)
+
+    def second_prints(self, places: np.ndarray) -> np.ndarray:
+        """32 more bits for the string at each place, from hashes of its halves."""
         half = LENGTH // 2
-        a, b = (ranges(self._sums, some + at, some + at + half, self._powers) for at in (0, half))
+        a, b = self.prints(places, half), self.prints(places + half, half)
         return (mixed(a * np.uint64(3) + (b ^ (b >> np.uint64(17)))) >> np.uint64(32)).astype("<u4")
 
-    def results(self, which: np.ndarray, first: np.ndarray, earlier: np.ndarray):
-        """For each document: bytes, bytes removed, runs removed, digest of what is kept."""
-        own = self.ids[self.document[self.starts]]
-        gone = self.starts[earlier.astype(bool)[which] | (self.ids[first][which] < own)] if len(self.starts) else self.starts
+    def results(self, gone: np.ndarray):
+        """For each document: bytes, bytes removed, runs removed, digest of what is kept.  ``gone``: places of strings that go."""
         step = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(step, gone, 1)
         np.add.at(step, gone + LENGTH, -1)
@@ -153,9 +151,8 @@ def _blocks(batches, buckets: int):
     powers = Powers()
     for batch in batches:
         for row in range(batch.num_rows):
-            ids, sizes, data = (batch.column(c)[row].as_py() for c in ("ids", "sizes", "data"))
-            answers = {c: batch.column(c)[row].as_py() for c in ("near", "earlier") if c in batch.schema.names}
-            yield batch.column("block")[row].as_py(), Block(ids, sizes, data, buckets, powers), answers
+            cells = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
+            yield cells, Block(cells["ids"], cells["sizes"], cells["data"], buckets, powers)
 
 
 def _answered(block: Block, prints: np.ndarray, answers: list[dict] | None) -> np.ndarray:
@@ -177,27 +174,51 @@ def _send_cover(buckets: int):
     shift = np.uint64(max(0, 32 - (buckets.bit_length() - 1)))
 
     def run(batches):
-        for number, block, _ in _blocks(batches, buckets):
-            prints = block.cover()[0]
+        for cells, block in _blocks(batches, buckets):
+            places = block.cover()
+            prints = np.unique(block.prints(places, COVER_LENGTH))
             bounds, short = block.bounds(prints), ((prints >> shift) & np.uint64(0xFFFFFFFF)).astype("<u4")
-            yield _sent([(b, number, short[bounds[b] : bounds[b + 1]].tobytes()) for b in range(buckets) if bounds[b + 1] > bounds[b]])
+            filled = [b for b in range(buckets) if bounds[b + 1] > bounds[b]]
+            yield _sent([(b, cells["block"], short[bounds[b] : bounds[b + 1]].tobytes()) for b in filled])
+
+    return run
+
+
+def _mark_suspects(buckets: int):
+    """The blocks with a bit for each byte: whether the string there may repeat."""
+
+    def run(batches):
+        for batch in batches:
+            marks = []
+            for cells, block in _blocks([batch], buckets):
+                places = block.cover()
+                prints, which, first, last = block.distinct(places, block.prints(places, COVER_LENGTH))
+                elsewhere = _answered(block, prints, cells["near"]).astype(bool)
+                shared = places[(elsewhere | (first != last))[which]]
+                marks.append(np.packbits(block.suspects(shared)).tobytes())
+            kept = [batch.column(c) for c in ("block", "ids", "sizes", "data")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(marks, pa.binary())], names=["block", "ids", "sizes", "data", "suspects"])
 
     return run
 
 
+def _suspects(cells: dict, block: Block) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(cells["suspects"], np.uint8), count=len(block.data)))
+
+
 def _send_suspects(buckets: int, turn: int):
     """The suspect strings of this turn's buckets, 12 bytes each."""
 
     def run(batches):
-        for number, block, answers in _blocks(batches, buckets):
-            prints, _, _, _ = block.cover()
-            prints, which, _, _ = block.suspects(_answered(block, prints, answers["near"]))
-            if not len(prints):
-                continue
-            bounds, second = block.bounds(prints), block.second_prints(which, len(prints))
-            mine = [b for b in range(turn, buckets, TURNS) if bounds[b + 1] > bounds[b]]
+        for cells, block in _blocks(batches, buckets):
+            places = _suspects(cells, block)
+            prints = block.prints(places, LENGTH)
+            mine = (prints >> np.uint64(64 - (buckets.bit_length() - 1))) % np.uint64(TURNS) == turn
+            prints, first = np.unique(prints[mine], return_index=True)
+            second, bounds = block.second_prints(places[mine][first]), block.bounds(prints)
             cut = lambda a, b: a[bounds[b] : bounds[b + 1]].tobytes()
-            yield _sent([(b, number, cut(prints.astype("<u8"), b) + cut(second, b)) for b in mine])
+            filled = [b for b in range(turn, buckets, TURNS) if bounds[b + 1] > bounds[b]]
+            yield _sent([(b, cells["block"], cut(prints.astype("<u8"), b) + cut(second, b)) for b in filled])
 
     return run
 
@@ -219,7 +240,7 @@ def _sort_cover(table: pa.Table) -> pa.Table:
     """Sort the cover strings of one bucket; a bit is set where another block has the string too."""
     blocks, strings, counts = _by_block(table, 4)
     values = np.frombuffer(b"".join(strings), "<u4")
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     same = values[order][1:] == values[order][:-1]
     bits = np.zeros(len(values), bool)
     bits[order] = np.r_[False, same] | np.r_[same, False]
@@ -231,19 +252,28 @@ def _sort_suspects(table: pa.Table) -> pa.Table:
     blocks, strings, counts = _by_block(table, 12)
     first = np.frombuffer(b"".join(s[: 8 * n] for s, n in zip(strings, counts)), "<u8")
     second = np.frombuffer(b"".join(s[8 * n :] for s, n in zip(strings, counts)), "<u4")
-    # Stable, so of equal strings the one of the earliest block comes first.
-    order = np.lexsort((second, first))
+    block = np.repeat(np.arange(len(blocks)), counts)
+    order = np.argsort(first)
+    same = first[order][1:] == first[order][:-1]
+    if np.any(same & (second[order][1:] != second[order][:-1])):
+        order = np.lexsort((second, first))
+        same = (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])
+    starts = np.flatnonzero(np.r_[True, ~same])
+    earliest = np.minimum.reduceat(block[order], starts)
     bits = np.zeros(len(first), bool)
-    bits[order] = np.r_[False, (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])][: len(first)]
+    bits[order] = block[order] > np.repeat(earliest, np.diff(np.r_[starts, len(order)]))
     return _answers(blocks, counts, table["bucket"][0].as_py(), bits)
 
 
 def _finish(buckets: int):
     def run(batches):
-        for _, block, answers in _blocks(batches, buckets):
-            prints, _, _, _ = block.cover()
-            prints, which, first, _ = block.suspects(_answered(block, prints, answers["near"]))
-            rows = list(block.results(which, first, _answered(block, prints, answers["earlier"])))
+        for cells, block in _blocks(batches, buckets):
+            places = _suspects(cells, block)
+            prints, which, first, _ = block.distinct(places, block.prints(places, LENGTH))
+            earlier = _answered(block, prints, cells["earlier"]).astype(bool)
+            # Ids come in order, so the first document with a string has the smallest id.
+            within = block.ids[first[which]] < block.ids[block.document[places]]
+            rows = list(block.results(places[earlier[which] | within]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -268,13 +298,14 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     sent = blocks.mapInArrow(_send_cover(buckets), _SENT)
     near = written(sent.groupBy("bucket").applyInArrow(_sort_cover, _ANSWERS), "cover-answers")
-    informed = _joined(blocks, near, "near")
+    marked = _joined(blocks, near, "near").mapInArrow(_mark_suspects(buckets), _BLOCKS + ", suspects binary")
+    marked = written(marked, "marked-blocks")
     earlier = None
     for turn in range(TURNS):
-        sent = informed.mapInArrow(_send_suspects(buckets, turn), _SENT)
+        sent = marked.mapInArrow(_send_suspects(buckets, turn), _SENT)
         answers = written(sent.groupBy("bucket").applyInArrow(_sort_suspects, _ANSWERS), "suspect-answers")
         earlier = answers if earlier is None else earlier.unionByName(answers)
-    found = _joined(informed, earlier, "earlier").mapInArrow(_finish(buckets), RESULT)
+    found = _joined(marked, earlier, "earlier").mapInArrow(_finish(buckets), RESULT)
     without = rows.where("doc_id is null").select(
         "doc_id",
         F.octet_length("text").cast("bigint").alias("n_bytes"),
