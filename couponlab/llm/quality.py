@@ -37,8 +37,8 @@ from couponlab.llm.word_cache import TwoGenerations
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 LENGTHS = (3, 4, 5)
-#: Labelled rows to learn from at most: those of the smallest hash of the key.
-SAMPLE = 4000
+#: Labelled rows to learn from at most: those of the smallest hash of the key.  Their bags go to the driver.
+SAMPLE = 2000
 EPOCHS = 6
 RATE = 0.5
 SEED = 7
@@ -139,25 +139,23 @@ def training_bags(documents: DataFrame, labels: DataFrame, key: str, text: str,
     def run(batches):
         for batch in batches:
             made = [bag(v.as_py()) for v in batch.column("text")]
+            sums = [sum(m.values()) for m in made]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"),
                     batch.column("label"),
                     pa.array([list(m) for m in made], pa.list_(pa.int32())),
-                    pa.array([list(m.values()) for m in made], pa.list_(pa.float64())),
+                    pa.array([[n / total for n in m.values()] for m, total in zip(made, sums)], pa.list_(pa.float32())),
                 ],
-                names=["key", "label", "buckets", "counts"],
+                names=["key", "label", "buckets", "shares"],
             )
 
     texts = documents.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key)
-    schema = "key bigint, label int, buckets array<int>, counts array<double>"
+    schema = "key bigint, label int, buckets array<int>, shares array<float>"
     rows = texts.select(F.col(key).cast("bigint").alias("key"), "label", "text").mapInArrow(run, schema)
     table = rows.orderBy(F.xxhash64("key"), "key", "label").limit(sample).toArrow()
-    out = []
-    for label, buckets, counts in zip(table["label"], table["buckets"], table["counts"]):
-        counted = counts.values.to_numpy()
-        out.append((buckets.values.to_numpy(), counted / counted.sum(), label.as_py()))
-    return out
+    cells = zip(table["label"].to_pylist(), table["buckets"], table["shares"])
+    return [(buckets.values.to_numpy(), shares.values.to_numpy(), label) for label, buckets, shares in cells]
 
 
 def score(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
