@@ -201,7 +201,8 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", size
     # The least of (no key, key, row): combined in each task, so a group of any size sends one row from each.
     first = named.groupBy("label").agg(F.min(F.struct(F.col(key).isNull().alias("none"), key, ROW)).alias("first"))
     kept = written(first.select(F.col(f"first.{ROW}").alias(ROW)), "kept-rows")
-    return marked.join(kept, ROW, "left_semi").select(*back)
+    # The kept rows grow with the documents, so they are never broadcast.
+    return marked.join(kept.hint("merge"), ROW, "left_semi").select(*back)
 
 
 def hex_digits(value: Column) -> Column:
