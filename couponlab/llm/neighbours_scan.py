@@ -1,13 +1,20 @@
 """Approximate nearest neighbours by inner product with an adaptive scan of dimensions.
 
-A vector x gets one more component, sqrt(M^2 - |x|^2) with M the greatest norm, and a
-query a zero; then the nearest by distance are the nearest by inner product.  All are
-turned by one random rotation, so the first d of D components carry about d/D of a
-squared distance.  Rows lie in the list of their nearest centroid.  A query scans the
-lists of its nearest centroids, a block of columns at a time; after each block a
-candidate is given up whose partial distance is too great, by a test of the hypothesis
-that its whole distance is under the query's present k-th.  What is left is measured
-again on the original vectors in double precision.
+Rows fall into bands of norm, each a factor of two wide.  A vector x is divided by the
+greatest norm of its band and gets one more component, which makes its length 1; a query
+is divided by its own norm and gets a zero.  Then the nearest of a band by distance are
+its nearest by inner product, and a single-precision distance is off by a little of the
+row's own norm, whatever norms other rows have.  All are turned by one random rotation,
+so the first d of D components carry about d/D of a squared distance.  Rows lie in the
+list of their nearest centroid.  A query scans the lists of its nearest centroids, the
+greatest norms first and a block of columns at a time; after each block a candidate is
+given up whose partial distance is too great, by a test of the hypothesis that its
+product is over the query's present k-th.  What is left is measured again on the original
+vectors in double precision.
+
+Bands above the one of most rows, as far as they hold few rows, are a list of their own
+that every query measures whole, in double precision: their rows are near half of all
+queries, in no direction's lists.
 
 Centroids are learned from a bounded sample, but every row is in a list.  Lists are
 packed into buckets of bounded size and a long list is cut into several, so a vector
@@ -19,7 +26,8 @@ rows a seventh of the lists holds 61 % of the true neighbours, 57 % of them 96 %
 Rows: vectors that are null, empty, zero or hold nulls or values that are not finite
 take no part, nor do those of another length than most have, nor null ids; repeated
 rows are rows of their own, and only the query's own row is left out; equal products
-go by the smaller id; a table without queries or candidates gives no rows.
+go by the smaller id, but infinite ones by what they would be without the limit of
+doubles; a table without queries or candidates gives no rows.
 """
 
 from __future__ import annotations
@@ -43,31 +51,48 @@ CHUNK = 1024
 COLUMNS = 16
 DEVIATIONS = 1.5
 SEED = 11
-# Distances are scanned in single precision; this much more than the k-th is measured again.
-_SLACK = 1e-4
+# A product beyond doubles is worked out with the candidate smaller by this power of two.
+_SHIFT = 64
+
+
+def _slack(width: int) -> float:
+    """Distances of vectors of length 1 are scanned in single precision; this much more than the k-th is measured again."""
+    return max(1e-4, width * 2.0**-21)
+
+
+def measured(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The band of each row, and its norm over two to the power of that, without overflow."""
+    exponents = np.frexp(np.abs(vectors).max(axis=1))[1]
+    share, more = np.frexp(np.sqrt((np.ldexp(vectors, -exponents[:, None]) ** 2).sum(axis=1)))
+    # Norms about a power of two, such as 1, are in one band.
+    low = share < 0.5**0.5
+    return (exponents + more - low).astype(np.int64), np.where(low, 2 * share, share)
 
 
 class Space:
-    """The rotation and the centroids, small by their bounds, and what goes with them."""
+    """The greatest norm of each band, the rotation and the centroids, small by their bounds, and what goes with them."""
 
-    def __init__(self, greatest: float, rotation: np.ndarray, centroids: np.ndarray):
+    def __init__(self, greatest: dict[int, float], rotation: np.ndarray, centroids: np.ndarray):
         self.greatest, self.rotation, self.centroids = greatest, rotation, centroids
 
     def turned(self, vectors: np.ndarray, query: bool = False) -> np.ndarray:
-        spare = np.zeros(len(vectors)) if query else np.sqrt(np.maximum(0, self.greatest**2 - (vectors**2).sum(axis=1)))
-        return (np.column_stack([vectors, spare]) @ self.rotation).astype(np.float32)
+        bands, norms = measured(vectors)
+        over = norms if query else np.array([self.greatest[b] for b in bands.tolist()])
+        units = np.ldexp(vectors, -bands[:, None]) / over[:, None]
+        spare = np.zeros(len(vectors)) if query else np.sqrt(np.maximum(0, 1 - (units**2).sum(axis=1)))
+        return np.column_stack([units, spare]) @ self.rotation
 
     def ranked(self, turned: np.ndarray, count: int) -> np.ndarray:
         """The nearest centroids of each row, nearest first."""
-        far = (self.centroids**2).sum(axis=1) - 2 * turned @ self.centroids.T
+        far = (self.centroids**2).sum(axis=1) - 2 * turned.astype(np.float32) @ self.centroids.T
         return far.argmin(axis=1)[:, None] if count == 1 else np.argsort(far, axis=1, kind="stable")[:, :count]
 
 
-def learned(sample: np.ndarray, greatest: float, lists: int) -> Space:
+def learned(sample: np.ndarray, greatest: dict[int, float], lists: int) -> Space:
     """A random rotation, and centroids by Lloyd's steps on the sample."""
     draw = np.random.default_rng(SEED)
     rotation = np.linalg.qr(draw.normal(size=(sample.shape[1] + 1,) * 2))[0]
-    turned = Space(greatest, rotation, rotation).turned(sample)
+    turned = Space(greatest, rotation, rotation).turned(sample).astype(np.float32)
     lists = min(lists, len(turned))
     space = Space(greatest, rotation, turned[np.sort(draw.choice(len(turned), lists, replace=False))])
     for _ in range(8):
@@ -105,10 +130,28 @@ def scan(queries: np.ndarray, candidates: np.ndarray, bound: np.ndarray) -> np.n
     return far
 
 
+def _ratio(space: Space, a: int, b: int) -> float:
+    """The greatest norm of band a over that of band b, kept finite and above zero."""
+    return float(np.ldexp(space.greatest[a] / space.greatest[b], max(-1000, min(1000, a - b))))
+
+
+def products_of(asked: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products row by row; and for infinite ones what orders them, else 0."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores, beyond = (asked * vectors).sum(axis=1), np.zeros(len(asked))
+        at = np.flatnonzero(~np.isfinite(scores))
+        if len(at):
+            exponents = np.frexp(np.abs(asked[at]).max(axis=1))[1]
+            small = (np.ldexp(asked[at], -exponents[:, None]) * np.ldexp(vectors[at], -_SHIFT)).sum(axis=1)
+            scores[at] = np.ldexp(small, exponents + _SHIFT)
+            beyond[at] = np.where(np.isinf(scores[at]), small, 0)
+    return scores, beyond
+
+
 def search(space: Space, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     """The k best candidates of one bucket for each query of one chunk."""
-    names = ["query", "query_id", "row", "vec_id", "score"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+    names = ["query", "query_id", "row", "vec_id", "score", "beyond"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     empty = pa.table([pa.array([], t) for t in kinds], names=names)
     if not left.num_rows or not right.num_rows:
         return empty
@@ -121,29 +164,49 @@ def search(space: Space, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
         for one in own:
             wanted.setdefault(one, []).append(i)
     turned, turned_queries = space.turned(vectors), space.turned(asked, query=True)
-    best = np.full((len(asked), k + 1), np.inf, np.float32)
-    pairs = []
-    for one in np.unique(lists):
-        if one not in wanted:
+    singles, single_queries = turned.astype(np.float32), turned_queries.astype(np.float32)
+    slack, bands, exact = _slack(turned.shape[1]), measured(vectors)[0], len(space.centroids)
+    # The greatest products of each query, over the greatest norm of the band at hand.
+    best, pairs, held = np.full((len(asked), k + 1), -np.inf), [], []
+
+    def kept():
+        # What a band still holds of the best when its last list has been scanned.
+        for i, j, products in held:
+            near = (products >= best[i].min(axis=1) - slack / 2) & (rows[j] != query_rows[i])
+            pairs.append((i[near], j[near]))
+        held.clear()
+
+    unit = None
+    for band, one in sorted(((b, o) for b, o in set(zip(bands.tolist(), lists.tolist())) if o in wanted), key=lambda g: (-g[0], g[1])):
+        if unit not in (None, band):
+            kept()
+            best *= _ratio(space, unit, band)
+        unit = band
+        i, j = np.array(wanted[one]), np.flatnonzero((lists == one) & (bands == band))
+        limit = 2 - 2 * best[i].min(axis=1) + slack
+        i, limit = i[limit >= 0], limit[limit >= 0]
+        if not len(i):
             continue
-        i, j = np.array(wanted[one]), np.flatnonzero(lists == one)
-        far = scan(turned_queries[i], turned[j], best[i].max(axis=1) + _SLACK)
-        merged = np.concatenate([best[i], far], axis=1)
+        if one == exact:
+            products = turned_queries[i] @ turned[j].T
+        else:
+            products = 1 - scan(single_queries[i], singles[j], limit).astype(np.float64) / 2
+        merged = np.concatenate([best[i], products], axis=1)
         # One more than k, since the query's own row may be among them.
-        best[i] = np.partition(merged, k, axis=1)[:, : k + 1]
-        a, b = np.nonzero(far <= best[i].max(axis=1)[:, None] + _SLACK)
-        pairs.append((i[a], j[b], far[a, b]))
+        best[i] = np.partition(merged, -k - 1, axis=1)[:, -k - 1 :]
+        a, b = np.nonzero(np.isfinite(products) & (products >= best[i].min(axis=1)[:, None] - slack / 2))
+        held.append((i[a], j[b], products[a, b]))
+    kept()
     if not pairs:
         return empty
-    i, j, far = (np.concatenate(p) for p in zip(*pairs))
-    near = np.isfinite(far) & (far <= best.max(axis=1)[i] + _SLACK) & (rows[j] != query_rows[i])
-    i, j = i[near], j[near]
-    scores = np.concatenate([[0.0][:0], *((asked[i[s : s + CHUNK]] * vectors[j[s : s + CHUNK]]).sum(axis=1) for s in range(0, len(i), CHUNK))])
-    order = np.lexsort((rows[j], ids[j], -scores, i))
-    i, j, scores = i[order], j[order], scores[order]
+    i, j = (np.concatenate(p) for p in zip(*pairs))
+    parts = [products_of(asked[i[s : s + CHUNK]], vectors[j[s : s + CHUNK]]) for s in range(0, len(i), CHUNK)]
+    scores, beyond = (np.concatenate([[0.0][:0], *p]) for p in (zip(*parts) if parts else ((), ())))
+    order = np.lexsort((rows[j], ids[j], -beyond, -scores, i))
+    i, j, scores, beyond = i[order], j[order], scores[order], beyond[order]
     place = np.arange(len(i)) - np.searchsorted(i, i)
-    i, j, scores = i[place < k], j[place < k], scores[place < k]
-    made = [query_rows[i], query_ids[i], rows[j], ids[j], scores]
+    i, j, scores, beyond = (c[place < k] for c in (i, j, scores, beyond))
+    made = [query_rows[i], query_ids[i], rows[j], ids[j], scores, beyond]
     return pa.table([pa.array(m, t) for m, t in zip(made, kinds)], names=names)
 
 
@@ -163,24 +226,41 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
     """``query_id``, ``rank``, ``vec_id`` and ``score``: the k nearest rows found for each row where ``is_query(key)`` holds."""
     spark = vectors.sparkSession
     rows = usable(vectors, key, vector)
-    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(norm)).alias("norm"), F.count(F.when(is_query(F.col("vec_id")), 1)).alias("q")).first()
-    if not facts["n"] or not facts["q"]:
+
+    def to_band(batches):
+        for batch in batches:
+            made = measured(_matrix(batch.column("vector")))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, made), batch.column("asked")], names=["band", "norm", "asked"])
+
+    own = rows.select("vector", F.when(is_query(F.col("vec_id")), 1).alias("asked"))
+    own = own.mapInArrow(to_band, "band bigint, norm double, asked int").groupBy("band")
+    # One row for each band: some two thousand at most, by the range of doubles.
+    facts = own.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm"), F.count("asked").alias("q")).orderBy(F.desc("band")).collect()
+    total, asked_rows = sum(f["n"] for f in facts), sum(f["q"] for f in facts)
+    if not asked_rows:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    above, apart = 0, set()
+    for fact in facts:
+        above += fact["n"]
+        if above > BUCKET or fact["n"] == max(f["n"] for f in facts):
+            break
+        apart.add(fact["band"])
     taken = rows.select("vector", F.xxhash64("row").alias("h")).orderBy("h").limit(SAMPLE).select("vector").toArrow()
-    space = learned(_matrix(taken["vector"]), facts["norm"], min(LISTS, max(1, round(facts["n"] ** 0.5))))
+    space = learned(_matrix(taken["vector"]), {f["band"]: f["norm"] for f in facts}, min(LISTS, max(1, round(total**0.5))))
     shared = spark.sparkContext.broadcast((space.greatest, space.rotation, space.centroids))
 
     def to_list(batches):
         space = Space(*shared.value)
         for batch in batches:
-            own = space.ranked(space.turned(_matrix(batch.column("vector"))), 1)[:, 0]
+            vectors = _matrix(batch.column("vector"))
+            own = space.ranked(space.turned(vectors), 1)[:, 0]
+            own[np.isin(measured(vectors)[0], list(apart))] = len(space.centroids)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, "list"])
 
     listed = written(rows.mapInArrow(to_list, "row bigint, vec_id bigint, vector array<double>, list bigint"), "listed-vectors")
 
-    # One number for each list: at most LISTS rows.
-    counts = np.zeros(len(space.centroids), np.int64)
+    # One number for each list: at most LISTS rows, and that of the greatest norms.
+    counts = np.zeros(len(space.centroids) + 1, np.int64)
     for one, count in listed.groupBy("list").count().collect():
         counts[one] = count
     first, cuts, filled, bucket = np.zeros(len(counts), np.int64), np.maximum(1, -(-counts // BUCKET)), 0, 0
@@ -189,19 +269,19 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
             bucket, filled = bucket + 1, 0
         first[one] = bucket
         bucket, filled = (bucket + cuts[one], 0) if cuts[one] > 1 else (bucket, filled + count)
-    chunks = -(-facts["q"] // CHUNK)
-    least, probes = 4 * (k + 1), max(1, int(np.ceil(share * len(counts))))
+    chunks = -(-asked_rows // CHUNK)
+    least, probes = 4 * (k + 1), max(1, int(np.ceil(share * len(space.centroids))))
 
     def ask(batches):
         space = Space(*shared.value)
         for batch in batches:
             out = {"bucket": [], "at": [], "lists": []}
             turned = space.turned(_matrix(batch.column("vector")), query=True)
-            for at, order in enumerate(space.ranked(turned, len(counts))):
+            for at, order in enumerate(space.ranked(turned, len(space.centroids))):
                 # Enough lists to hold k rows in any case.
                 order = order[: max(probes, int(np.searchsorted(np.cumsum(counts[order]), least)) + 1)]
                 wanted = {}
-                for one in order.tolist():
+                for one in [*order.tolist(), len(space.centroids)][: None if apart else -1]:
                     for cut in range(int(cuts[one])):
                         wanted.setdefault(int(first[one]) + cut, []).append(one)
                 for b, own in wanted.items():
@@ -232,9 +312,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
         return search(Space(*shared.value), left, right, k)
 
     found = held.groupBy("bucket", "chunk").cogroup(asked.groupBy("bucket", "chunk")).applyInArrow(
-        compare, "query bigint, query_id bigint, row bigint, vec_id bigint, score double"
+        compare, "query bigint, query_id bigint, row bigint, vec_id bigint, score double, beyond double"
     )
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("beyond"), "vec_id", "row")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

@@ -279,3 +279,27 @@ def test_neighbours_of_odd_vectors(spark):
     got = [tuple(r) for r in neighbours_scan.nearest(few, lambda key: key % 20 == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 9.0), (0, 2, 2, -1.0)]
     assert neighbours_scan.nearest(few.limit(0), lambda key: key % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("norms", [[1e3], [1e5], [1e30], [1e3, 1e30, 1e200, 1e-200]])
+def test_neighbours_beside_great_norms(spark, norms):
+    draw = np.random.default_rng(3)
+    units = draw.normal(size=(2000, 32))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    # The first rows, of odd ids and no queries, get the norms.
+    units[: len(norms)] *= np.array(norms)[:, None]
+    rows = [(2 * i + 1 if i < len(norms) else 10 * i, v) for i, v in enumerate(units)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id bigint, embedding array<double>")
+    want, found = nearest_by_hand(rows, 20), {}
+    for r in neighbours_scan.nearest(frame, lambda key: key % 20 == 0).collect():
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    assert np.mean([len({i for _, i in want[q]} & set(found.get(q, {}))) / 20 for q in want]) >= 0.9
+    great = {2 * i + 1 for i, n in enumerate(norms) if n > 1}
+    assert all({i for _, i in want[q]} & great == set(found[q]) & great for q in want)
+
+
+def test_products_beyond_doubles(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [2e200, 0.0]), (3, [-1e200, 0.0]), (4, [1e200, -1e300]), (5, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = neighbours_scan.nearest(frame, lambda key: key == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(2, np.inf), (1, np.inf), (4, np.inf), (5, 1e200), (3, -np.inf)]
