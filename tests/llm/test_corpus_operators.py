@@ -224,6 +224,26 @@ def test_quality_of_odd_rows(spark):
     assert quality.score(documents.limit(0), none).count() == 0
 
 
+def test_quality_learns_from_the_whole_sample(spark):
+    texts = {i: f"w{i} a a b" for i in range(4500)}
+    documents = spark.createDataFrame([*texts.items(), (7, "again"), (7, None)], "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id bigint, quality int")
+    usable = [i for i in texts if zlib.crc32(str(i).encode()) % 5]
+    alone = documents.where("doc_id != 7")
+    bags = quality.training_bags(alone, labels, "doc_id", "text", quality.SAMPLE)
+    assert len(bags) == len(set(usable) - {7}) > 3000
+
+    def plain(buckets, shares, label):
+        return sorted(zip(buckets.tolist(), np.round(shares, 5).tolist())), label
+
+    def by_hand(i):
+        own = quality.bag(texts[i])
+        return plain(np.array(list(own)), np.array(list(own.values()), np.float32) / sum(own.values()), i % 2)
+
+    assert sorted(plain(*b) for b in bags) == sorted(by_hand(i) for i in usable if i != 7)
+    assert len(quality.training_bags(documents, labels, "doc_id", "text", 10)) == 10
+
+
 # --- language -----------------------------------------------------------------
 
 
