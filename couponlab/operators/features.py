@@ -144,9 +144,16 @@ def _reduce(feature: Feature, values: list[str], base: int) -> str:
     if feature.kind == "median":
         return f"coalesce(percentile({chosen}, 0.5D, {weight}), 0D)"
     if feature.kind == "mean":
-        # Decimal sums make the mean of a rate independent of row order.
-        exact = f"cast({value} AS decimal(18,10))" if dtype == "double" else value
-        total = f"cast(sum(CASE WHEN {here} THEN {exact} * {weight} END) AS double)"
+        total = f"cast(sum(CASE WHEN {here} THEN {value} * {weight} END) AS double)"
+        if dtype == "double":
+            # Either sum is independent of row order: decimals are exact where they hold the whole value,
+            # and the other values are added as doubles in their order.
+            short = f"try_cast({value} AS decimal(17,9))"
+            whole = f"coalesce(cast({short} AS double) = {value}, false)"
+            exact = f"sum(CASE WHEN {here} AND {whole} THEN {short} * {weight} END)"
+            rest = f"collect_list(CASE WHEN {here} AND {weight} > 0 AND NOT {whole} THEN struct({value} AS v, {weight} AS w) END)"
+            added = f"aggregate(array_sort({rest}), 0D, (a, x) -> a + x.v * x.w)"
+            total = f"coalesce(cast({exact} AS double), 0D) + {added}"
         return f"coalesce(try_divide({total}, sum(CASE WHEN {here} THEN {weight} END)), 0D)"
     raise ValueError(f"unknown feature kind {feature.kind!r}")
 

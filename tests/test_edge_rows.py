@@ -211,3 +211,12 @@ def test_profiles(edge_log):
     assert shares == {"user_id": (0, 0.0), "coupon_id": (1, 2 / 11)}
     only = profile.only_in(edge_log, edge_log.where("user_id < 4"), "user_id")
     assert bag(only) == [(4,), (5,)]
+
+
+def test_rate_means_keep_all_digits_and_sizes(spark):
+    rates = ["0.00000000000123", "0.00000000000125", "250000000000", "0.9"]
+    rows = [(u, 1, 100, r, 1, "20160402", None) for u, r in ((1, rates[0]), (1, rates[1]), (1, rates[1]), (2, rates[2]), (2, rates[3]))]
+    table = {r["user_id"]: r for r in entities.user_features(fields.clean(make_log(spark, rows))).collect()}
+    name = next(f.name for f in entities.USER_STATS if f.kind == "mean" and f.value == "discount_rate")
+    assert abs(table[1][name] - 3.73e-12 / 3) < 1e-24
+    assert table[2][name] == 250000000000.9 / 2
