@@ -114,3 +114,12 @@ def test_named_checkpoint_folder_is_used(tmp_path):
     )
     root = Path(__file__).resolve().parents[1]
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_first_booster_runs_all_rounds(monkeypatch, spark):
+    import __spark_entry__ as entry
+
+    asked = {}
+    monkeypatch.setattr(scoring, "evaluate_offline", lambda train, validate, leave_out, **settings: asked.update(settings))
+    entry.gbt_offline_auc(spark, "/root/testdata/sf0.001")
+    assert asked == {"rounds": 5167, "subsample": 0.9, "min_instances": 4}
