@@ -56,7 +56,7 @@ def fit_gbt(
     columns_share: str = "0.7",
     min_instances: int = 5,
     min_gain: float = 0.0,
-    bins: int = 32,
+    bins: int = 256,
     weight: str | None = None,
 ) -> PipelineModel:
     """Gradient-boosted trees with logistic loss.

@@ -123,3 +123,7 @@ def test_first_booster_runs_all_rounds(monkeypatch, spark):
     monkeypatch.setattr(scoring, "evaluate_offline", lambda train, validate, leave_out, **settings: asked.update(settings))
     entry.gbt_offline_auc(spark, "/root/testdata/sf0.001")
     assert asked == {"rounds": 5167, "subsample": 0.9, "min_instances": 4}
+
+
+def test_trees_split_between_256_bins(trees):
+    assert trees.stages[-1].getMaxBins() == 256
