@@ -68,3 +68,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)
 """
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+DIVERGENCES = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source)
+      GROUP BY ALL),
+l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+v AS (SELECT lang, count(*) AS terms, sum(n) AS total FROM l GROUP BY lang),
+p AS (SELECT g.lang, g.source, l.term, coalesce(c.n, 0) AS n,
+             1 + CAST(1000000000 * (coalesce(c.n, 0) + 5) AS HUGEINT) // CAST(g.total + 5 * v.terms AS HUGEINT) AS p,
+             1 + CAST(1000000000 * (l.n + 5) AS HUGEINT) // CAST(v.total + 5 * v.terms AS HUGEINT) AS q
+      FROM g JOIN v USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM u QUALIFY part = 'pair' OR rank <= 50
+"""
