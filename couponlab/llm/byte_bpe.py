@@ -2,8 +2,8 @@
 
 The queue has a bucket for each merge rank; a bucket holds places of the linked
 list of parts.  Which buckets are filled is kept in a bitmap of 256-bit words, with
-a bitmap over its words above it, and so on to one word.  Find-first-set on each
-level gives the lowest rank in a few steps whatever the length of the pre-token.
+a bitmap over its words above it.  Find-first-set on both levels gives the lowest
+rank in a few steps whatever the length of the pre-token.
 Entries whose pair has changed since are stale and are skipped.
 
 Rows: a null or empty text has no tokens and decodes to no bytes; repeated rows
@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,97 +33,140 @@ CACHE_WORDS = 800_000
 _SHIFT = 8
 _WORD = 1 << _SHIFT
 _MASK = _WORD - 1
-_BIT = [1 << i for i in range(_WORD)]
+#: Bits of the lower words, and of the one above them.
+_BIT = [1 << i for i in range(1 << 12)]
+#: Bits of the right token in the key of a pair.
+_PAIR = 24
 
 
 class RankQueue:
     """Places by rank, lowest rank first, leftmost place first within a rank."""
 
     def __init__(self, ranks: int):
-        self._buckets: dict[int, list[int]] = {}
-        # Words over the ranks, words over those words, and so on to one word.
-        self._levels = []
-        n = max(1, ranks)
-        while not self._levels or n > 1:
-            n = (n + _WORD - 1) // _WORD
-            self._levels.append([0] * n)
+        self.buckets: dict[int, list[int]] = {}
+        # A bit for each rank, and in ``top`` a bit for each word that has some.
+        self.words = [0] * (max(1, ranks) + _WORD - 1 >> _SHIFT)
+        self.top = 0
 
     def push(self, rank: int, place: int) -> None:
-        bucket = self._buckets.get(rank)
+        bucket = self.buckets.get(rank)
         if bucket is not None:
             heapq.heappush(bucket, place)
             return
-        self._buckets[rank] = [place]
-        for level in self._levels:
-            word = rank >> _SHIFT
-            full = level[word]
-            level[word] = full | _BIT[rank & _MASK]
-            if full:
-                return
-            rank = word
+        self.buckets[rank] = [place]
+        self.words[rank >> _SHIFT] |= _BIT[rank & _MASK]
+        self.top |= 1 << (rank >> _SHIFT)
 
     def pop(self) -> tuple[int, int] | None:
-        at = 0
-        for level in reversed(self._levels):
-            word = level[at]
-            if not word:
-                return None
-            at = at << _SHIFT | (word & -word).bit_length() - 1
-        bucket = self._buckets[at]
+        if not self.top:
+            return None
+        word = (self.top & -self.top).bit_length() - 1
+        bits = self.words[word]
+        first = bits & -bits
+        rank = word << _SHIFT | first.bit_length() - 1
+        bucket = self.buckets[rank]
         if len(bucket) > 1:
-            return at, heapq.heappop(bucket)
-        del self._buckets[at]
-        rank = at
-        for level in self._levels:
-            word = rank >> _SHIFT
-            level[word] ^= _BIT[rank & _MASK]
-            if level[word]:
-                break
-            rank = word
-        return at, bucket[0]
-
-
-def encode_piece(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """Ids of one pre-token.  ``queue`` is empty before and after."""
-    whole = ranks.get(piece)
+            return rank, heapq.heappop(bucket)
+        del self.buckets[rank]
+        self.words[word] = bits ^ first
+        if bits == first:
+            self.top &= self.top - 1
+        return rank, bucket[0]
+
+
+class Merges:
+    """The merges of a rank file: a token for each byte, and the token that two adjacent ones make.
+
+    Tokens are known by their rank.  Every split of a token in two tokens is a pair that makes it.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.whole = ranks
+        self.first = [ranks[bytes([b])] for b in range(256)]
+        self.size = max(ranks.values()) + 1
+        if self.size > _WORD * len(_BIT):
+            raise ValueError("more ranks than the queue has bits for")
+        self.pairs = {}
+        get = ranks.get
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left = get(token[:cut])
+                if left is not None:
+                    right = get(token[cut:])
+                    if right is not None:
+                        self.pairs[left << _PAIR | right] = rank
+
+
+def encode_piece(piece: bytes, merges: Merges, queue: RankQueue) -> list[int]:
+    """Ids of one pre-token.  ``queue`` is empty before and after; its push and pop are written out here."""
+    whole = merges.whole.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
+    ids, get, bit = list(map(merges.first.__getitem__, piece)), merges.pairs.get, _BIT
+    n = len(ids)
     following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    # The rank now valid for the pair that starts here; -1: none, or the part is gone.
-    pair = [-1] * (n + 1)
-    get, push, pop = ranks.get, queue.push, queue.pop
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2], -1)
-        if rank >= 0:
-            pair[i] = rank
-            push(rank, i)
-    while (found := pop()) is not None:
-        rank, i = found
+    buckets, words, top = queue.buckets, queue.words, 0
+    # The rank now valid for the pair that starts here; None: none, or the part is gone.
+    pair = [get(a << _PAIR | b) for a, b in zip(ids, ids[1:])]
+    pair.append(None)
+    for i, rank in enumerate(pair):
+        if rank is not None:
+            if rank in buckets:
+                buckets[rank].append(i)
+            else:
+                buckets[rank] = [i]
+                word = rank >> _SHIFT
+                words[word] |= bit[rank & _MASK]
+                top |= bit[word]
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = words[word]
+        lowest = bits & -bits
+        rank = (word << _SHIFT) + lowest.bit_length() - 1
+        bucket = buckets[rank]
+        if len(bucket) > 1:
+            i = heapq.heappop(bucket)
+        else:
+            (i,) = bucket
+            del buckets[rank]
+            words[word] = bits ^ lowest
+            if bits == lowest:
+                top ^= bit[word]
         if pair[i] != rank:
             continue
         j = following[i]
         k = following[i] = following[j]
-        pair[j] = -1
-        new = -1
+        ids[i] = rank
+        pair[j] = new = None
         if k < n:
             before[k] = i
-            new = get(piece[i : following[k]], -1)
+            new = get(rank << _PAIR | ids[k])
+            if new is not None:
+                if new in buckets:
+                    heapq.heappush(buckets[new], i)
+                else:
+                    buckets[new] = [i]
+                    word = new >> _SHIFT
+                    words[word] |= bit[new & _MASK]
+                    top |= bit[word]
         pair[i] = new
-        if new >= 0:
-            push(new, i)
         h = before[i]
         if h >= 0:
-            new = get(piece[h:k], -1)
+            new = get(ids[h] << _PAIR | rank)
             if pair[h] != new:
                 pair[h] = new
-                if new >= 0:
-                    push(new, h)
+                if new is not None:
+                    if new in buckets:
+                        heapq.heappush(buckets[new], h)
+                    else:
+                        buckets[new] = [h]
+                        word = new >> _SHIFT
+                        words[word] |= bit[new & _MASK]
+                        top |= bit[word]
     out, i = [], 0
     while i < n:
-        j = following[i]
-        out.append(ranks[piece[i:j]])
-        i = j
+        out.append(ids[i])
+        i = following[i]
     return out
 
 
@@ -137,21 +180,30 @@ class Codec:
     """Encodes texts and decodes ids in one Python worker.  Ids travel as packed little-endian 32-bit integers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        queue = RankQueue(max(ranks.values(), default=0) + 1)
+        merges = Merges(ranks)
+        queue = RankQueue(merges.size)
 
         def packed(word: str) -> bytes:
-            ids = encode_piece(word.encode("utf-8"), ranks, queue)
-            return struct.pack(f"<{len(ids)}I", *ids)
+            return array("I", encode_piece(word.encode("utf-8"), merges, queue)).tobytes()
 
         self._of = TwoGenerations(packed, CACHE_WORDS)
         self._split = Splitter(pattern)
-        self._bytes = {i: b for b, i in ranks.items()}
+        tokens = [b""] * merges.size
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self._lengths = np.array([len(t) for t in tokens], np.int64)
+        self._starts = np.cumsum(self._lengths) - self._lengths
+        self._bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self._of.__getitem__, self._split(text)))
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self._bytes.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        ids = np.frombuffer(packed, "<u4")
+        sizes = self._lengths[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self._bytes[np.repeat(self._starts[ids] - ends + sizes, sizes) + np.arange(total)].tobytes()
 
 
 def _codec(shared, pattern: str) -> Codec:

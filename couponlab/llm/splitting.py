@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import regex
 
 # Letters and numbers that Unicode added after version 16.0, as (first, last).  The tokenizer
@@ -31,9 +32,12 @@ class Splitter:
         strict = pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{newer}])")
         for kind in (r"\p{L}", r"\p{N}"):
             strict = strict.replace(f" ?{kind}+", rf" ?(?:(?![{newer}]){kind})+")
-        self._plain, self._strict, self._newer = regex.compile(pattern), regex.compile(strict), regex.compile(f"[{newer}]")
+        self._plain, self._strict = regex.compile(pattern), regex.compile(strict)
+        self._newer = np.zeros(0x110000, bool)
+        for first, last in NEWER_THAN_16:
+            self._newer[first : last + 1] = True
 
     def __call__(self, text: str) -> list[str]:
-        if not text.isascii() and self._newer.search(text):
+        if not text.isascii() and self._newer[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
             return self._strict.findall(text)
         return self._plain.findall(text)
