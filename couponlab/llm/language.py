@@ -7,7 +7,8 @@ last three come from grouped counts over all pages, under the language that the
 alone suggests.  The prior of a host leans on that of its domain, and this on that of
 all pages; a page's own count is taken out first.
 
-Rows: a null or empty page has no text evidence and gets what the rest says; a null
+Rows: a page without text (null, empty, tags only) has no text language, is no vote in
+any count and gets what the rest says; of a page's ``html`` tags the first counts; a null
 or hostless address has host and suffix ``''``; a page without a declaration has the
 declaration ``''``; repeated rows each keep a line; without documents of known language
 there is no language to choose and the result is empty, as for an empty table.
@@ -33,11 +34,27 @@ TEMPER = 1 / 3
 LEAN = 5.0
 UNSEEN = 0.5
 
-_HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_TAG = re.compile(r"<(?:(script|style)\b|(!--))?", re.I)
+_CLOSING = {kind: re.compile(rf"</{kind}\s*>", re.I) for kind in ("script", "style")} | {"!--": re.compile("-->")}
 
 
 def visible_text(page: str) -> str:
-    return html.unescape(_HIDDEN.sub(" ", page))
+    """The page without tags, comments, scripts and styles, in one pass: what was not found once is not looked for again."""
+    shown, at, missing = [], 0, set()
+    while tag := _TAG.search(page, at):
+        kind, stop = (tag[1] or tag[2] or "").lower(), 0
+        if kind and kind not in missing:
+            closing = _CLOSING[kind].search(page, tag.end())
+            if closing:
+                stop = closing.end()
+            else:
+                missing.add(kind)
+        stop = stop or page.find(">", tag.start()) + 1
+        if not stop:
+            break
+        shown.append(page[at : tag.start()])
+        at = stop
+    return html.unescape(" ".join([*shown, page[at:]]))
 
 
 def trigram_counts(text: str) -> np.ndarray:
@@ -75,13 +92,21 @@ def host_of(url: Column) -> Column:
 
 
 def declared_in(page: Column) -> Column:
-    found = F.regexp_extract(F.coalesce(page, F.lit("")), r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]+)""", 1)
-    return F.lower(found)
+    text = F.coalesce(page, F.lit(""))
+    # Only the first tag is searched, so a page of unclosed tags takes linear time.
+    place = F.instr(F.lower(text), "<html")
+    tag = F.when(place > 0, F.substring_index(F.substr(text, place), ">", 1)).otherwise("")
+    return F.lower(F.regexp_extract(tag, r"""(?i)^<html\b.*?\blang\s*=\s*["']?([A-Za-z]+)""", 1))
+
+
+def _votes(i: int) -> Column:
+    """Pages whose text suggests this language; pages without text suggest none."""
+    return F.count_if(F.col("guess") == i).cast("double")
 
 
 def _counted(evidence: DataFrame, by: str, n: int) -> DataFrame:
     """Pages of each language under each value of ``by``, as one array."""
-    sums = [F.sum((F.col("guess") == i).cast("double")).alias(f"n{i}") for i in range(n)]
+    sums = [_votes(i).alias(f"n{i}") for i in range(n)]
     return evidence.groupBy(by).agg(*sums).select(by, F.array(*[f"n{i}" for i in range(n)]).alias(f"of_{by}"))
 
 
@@ -101,7 +126,7 @@ def identify(pages: DataFrame, documents: DataFrame, key: str = "page_id", url:
     langs, model = text_model(documents)
     n = len(langs)
     if not n:
-        columns = f"{key} bigint, language string, probability double, text_language string, declared string, suffix string, host string"
+        columns = f"{key} {dict(pages.dtypes)[key]}, language string, probability double, text_language string, declared string, suffix string, host string"
         return spark.createDataFrame([], columns)
     shared = spark.sparkContext.broadcast(model)
     host = host_of(F.col(url))
@@ -117,9 +142,13 @@ def identify(pages: DataFrame, documents: DataFrame, key: str = "page_id", url:
 
     def read(batches):
         for batch in batches:
-            values = [shared.value @ trigram_counts(visible_text(v.as_py())) * TEMPER for v in batch.column("page")]
+            values, guesses = [], []
+            for page_text in batch.column("page"):
+                counts = trigram_counts(visible_text(page_text.as_py()))
+                values.append((shared.value @ counts * TEMPER).tolist())
+                guesses.append(int(np.argmax(values[-1])) if counts.any() else None)
             kept = [c for c in batch.schema.names if c != "page"]
-            made = [pa.array([v.tolist() for v in values], pa.list_(pa.float64())), pa.array([int(v.argmax()) for v in values], pa.int32())]
+            made = [pa.array(values, pa.list_(pa.float64())), pa.array(guesses, pa.int32())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, "text_log", "guess"])
 
     kind = dict(pages.dtypes)[key]
@@ -129,9 +158,9 @@ def identify(pages: DataFrame, documents: DataFrame, key: str = "page_id", url:
     for by in ("host", "domain", "suffix", "declared"):
         # Counts as a table of their own: a join of two tables lets adaptive execution split a very common host.
         informed = informed.join(written(_counted(evidence, by, n), f"pages-by-{by}"), by)
-    total = evidence.agg(*[F.sum((F.col("guess") == i).cast("double")).alias(f"n{i}") for i in range(n)]).first()
+    total = evidence.agg(*[_votes(i).alias(f"n{i}") for i in range(n)]).first()
     values = {by: evidence.select(by).distinct().count() for by in ("suffix", "declared")}
-    own = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i == F.col("guess")).cast("double"))
+    own = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce((i == F.col("guess")).cast("double"), F.lit(0.0)))
     others = lambda counts: F.zip_with(counts, "own", lambda c, o: c - o)
     every = others(F.array(*[F.lit(float(t or 0)) for t in total]))
 

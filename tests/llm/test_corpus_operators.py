@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from couponlab.llm import components, language, neighbours_scan, quality, repeats, simhash, winnowing
 
@@ -323,3 +327,79 @@ def test_products_beyond_doubles(spark):
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = neighbours_scan.nearest(frame, lambda key: key == 0).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in got] == [(2, np.inf), (1, np.inf), (4, np.inf), (5, 1e200), (3, -np.inf)]
+
+
+def shown_by_regex(page: str) -> str:
+    return html.unescape(re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", page))
+
+
+def test_visible_text_in_one_pass():
+    draw = random.Random(3)
+    parts = ["<script>", "</script >", "<STYLE a>", "</style>", "<!--", "-->", "<", ">", "<b>", "a", " ", "&lt;", "<scripts>", "<!-->"]
+    for _ in range(3000):
+        page = "".join(draw.choice(parts) for _ in range(draw.randrange(12)))
+        assert language.visible_text(page) == shown_by_regex(page), page
+    started = time.monotonic()
+    for part in ("<script>", "<!--", "<", "<style ", "</script"):
+        language.visible_text(part * (1_000_000 // len(part)))
+    assert time.monotonic() - started < 5
+
+
+def fused_by_hand(pages: list[tuple], langs: list[str], model: np.ndarray) -> list[tuple]:
+    """The whole fusion in plain Python; pages are (id, host, declared, html)."""
+    n = len(langs)
+    counts = [language.trigram_counts(language.visible_text(p[3] or "")) for p in pages]
+    logs = [model @ c * language.TEMPER for c in counts]
+    guess = [int(v.argmax()) if c.any() else None for v, c in zip(logs, counts)]
+    facts = [{"host": h, "domain": ".".join(h.split(".")[-2:]) if "." in h else "", "suffix": h.split(".")[-1], "declared": d} for _, h, d, _ in pages]
+    tally = {by: Counter((f[by], g) for f, g in zip(facts, guess)) for by in ("host", "domain", "suffix", "declared")}
+    out = []
+    for row, fact, log, own in zip(pages, facts, logs, guess):
+        def others(by):
+            return np.array([tally[by][fact[by], i] - (own == i) for i in range(n)], float)
+
+        every = np.array([guess.count(i) - (own == i) for i in range(n)], float)
+        values = {by: len({f[by] for f in facts}) for by in ("suffix", "declared")}
+        score = np.array(log)
+        for by in ("declared", "suffix"):
+            score += np.log((others(by) + language.UNSEEN) / (every + language.UNSEEN * (values[by] + 1)))
+        prior = (every + language.UNSEEN) / (every.sum() + language.UNSEEN * n)
+        for by in ("domain", "host"):
+            prior = (others(by) + prior * language.LEAN) / (others(by).sum() + language.LEAN)
+        score += np.log(prior)
+        share = 1 / np.exp(score - score.max()).sum()
+        out.append((row[0], langs[int(score.argmax())], share, None if own is None else langs[own]))
+    return out
+
+
+def test_fusion_against_plain_python(spark):
+    documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    langs, model = language.text_model(documents)
+    texts = {r["lang"]: r["text"] for r in documents.where("length(text) > 300").select("lang", "text").collect()}
+    draw, pages = random.Random(4), []
+    for i in range(300):
+        lang = draw.choice(sorted(texts))
+        host = draw.choice(["a.example.org", "b.example.org", f"c.{lang}", "plain", ""])
+        declared = draw.choice([lang, "", "en"])
+        start = draw.randrange(100)
+        body = draw.choice([texts[lang][start : start + 200], texts[lang][start : start + 12], "", "<p></p>"])
+        pages.append((i, host, declared, f'<html lang="{declared}"><b>{body}</b></html>' if declared else body))
+    # Pages without text on a host of English ones do not vote.
+    pages += [(1000 + i, "en.host.org", "", f"<p>{texts['en'][i : i + 200]}</p>") for i in range(20)]
+    pages += [(2000 + i, "en.host.org", "", ["", None, "<p></p>", "ab"][i % 4]) for i in range(201)]
+    rows = [(i, f"http://{h}/x" if h else None, page) for i, h, _, page in pages]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r["page_id"]: r for r in language.identify(table, documents).collect()}
+    for key, lang, share, text_language in fused_by_hand(pages, langs, model):
+        row = found[key]
+        assert row["text_language"] == text_language
+        assert row["language"] == lang and abs(row["probability"] - share) < 1e-9, (key, row)
+        if key >= 1000:
+            assert lang == "en"
+
+
+def test_pages_of_unclosed_html_tags(spark):
+    pages = spark.createDataFrame([(1, None, "<html " * 100_000), (2, None, '<html x><html lang="de">')], "page_id bigint, url string, html string")
+    started = time.monotonic()
+    declared = {r["page_id"]: r["d"] for r in pages.select("page_id", language.declared_in(F.col("html")).alias("d")).collect()}
+    assert declared == {1: "", 2: ""} and time.monotonic() - started < 10
