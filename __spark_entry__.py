@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import oracle_queries
 from couponlab.functions import calendar, discount, fields, labels
-from couponlab.operators import counts, entities, evaluation, models, neighbours, profile, receipts, skew, windows
+from couponlab.operators import boosting, counts, entities, evaluation, models, neighbours, profile, receipts, skew, windows
 from couponlab.plans import datasets, scoring
 from couponlab.sources.star_tables import coupon_log, scoring_log
 
@@ -439,7 +439,7 @@ def scaled_predictors(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(models.standardised(rows, models.LINEAR_PREDICTORS, ["user_id", "merchant_id"]))
 
 
-def _gbt(spark: SparkSession, folder: str) -> tuple[DataFrame, scoring.Fitted]:
+def _gbt(spark: SparkSession, folder: str) -> tuple[DataFrame, boosting.Booster]:
     log = _log(spark, folder)
     return log, scoring.fit(datasets.training_set(log, scoring_log(log)))
 
@@ -451,8 +451,7 @@ def gbt_score(spark: SparkSession, folder: str) -> DataFrame:
 
 def gbt_importance(spark: SparkSession, folder: str) -> DataFrame:
     _, fitted = _gbt(spark, folder)
-    path = f"{models.checkpoint_dir(spark)}/trees-{fitted.model.uid}"
-    return models.split_importance(fitted.model, fitted.inputs, path, spark)
+    return boosting.split_importance(fitted)
 
 
 def gbt_offline_auc(spark: SparkSession, folder: str) -> DataFrame:
