@@ -6,8 +6,8 @@ Two ways of getting the same numbers:
   all, and one sort serves every chain of nested column sets;
 * all other counts, and the counts of hot users, are taken on the grain: the
   distinct combinations of the columns with their row counts.  Each count is
-  a sum over the grain; they meet there, and the grain joins back to the rows
-  once.
+  a sum over the grain in two phases, by key and salt and then by key; they
+  meet there under key and salt, and the grain joins back to the rows once.
 """
 
 from __future__ import annotations
@@ -15,11 +15,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from couponlab.operators import skew
 
+#: Tasks that the rows of one key are spread over where they are joined.
+SALTS = 64
+_SALT, _COPY = "__salt", "__copy"
+
 #: Columns the interaction counts combine, in naming order.
 COLUMNS = {
     "user_id": "user_id",
@@ -118,21 +122,38 @@ def _windowed(rows: DataFrame, counts: Mapping[str, list[str]], lead: list[str])
     return result.drop(*texts.values())
 
 
+def _salt(columns: Sequence[str]) -> Column:
+    """Spreads rows that share other columns; one value where there is nothing to tell them apart."""
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int") if columns else F.lit(0)
+
+
+def _totals(base: DataFrame, keys: Sequence[str], salt: Column, name: str) -> DataFrame:
+    """The rows of each key under every salt that the key has.
+
+    Sums are taken by key and salt first, so the window over a key holds ``SALTS`` rows at most.
+    """
+    parts = base.withColumn(_SALT, salt).groupBy(*keys, _SALT).agg(F.sum("rows_here").alias("rows_of_salt"))
+    whole = F.sum("rows_of_salt").over(Window.partitionBy(*keys))
+    return parts.select(*keys, _SALT, whole.alias(name))
+
+
 def _from_grain(rows: DataFrame, counts: Mapping[str, list[str]], source: DataFrame | None = None) -> DataFrame:
     """Counts taken on the grain of ``source`` (by default ``rows`` itself), joined to ``rows``.
 
-    The counts meet on the grain, which then joins back once.  How a count
-    meets the grain is left to adaptive execution, which sees its real size.
+    The counts meet on the grain, which then joins back once.  No join is on a
+    key alone: a count comes with its key under each salt of the key's other
+    columns, and copies of a combination are told apart by a hash of the row.
+    How a count meets the grain is left to adaptive execution, which sees its
+    real size.
     """
     source = rows if source is None else source
     columns = list(dict.fromkeys(c for keys in counts.values() for c in keys))
-    grain = base = source.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows_here"))
+    copy = _salt(source.columns)
+    grain = base = source.withColumn(_COPY, copy).groupBy(*columns, _COPY).agg(F.count(F.lit(1)).alias("rows_here"))
     for name, keys in counts.items():
-        if set(keys) == set(columns):
-            grain = grain.withColumn(name, F.col("rows_here"))
-        else:
-            grain = grain.join(base.groupBy(*keys).agg(F.sum("rows_here").alias(name)), keys, "left")
-    return rows.join(grain.drop("rows_here"), columns, "left")
+        salt = _salt([c for c in [*columns, _COPY] if c not in keys])
+        grain = grain.withColumn(_SALT, salt).join(_totals(base, keys, salt, name), [*keys, _SALT], "left").drop(_SALT)
+    return rows.withColumn(_COPY, copy).join(grain.drop("rows_here"), [*columns, _COPY], "left").drop(_COPY)
 
 
 def attach_counts(
@@ -162,13 +183,18 @@ def attach_repeats(
 ) -> DataFrame:
     """Add 1 where the combination occurs more than once in ``source`` (by default ``rows``), else 0.
 
-    Combinations are counted before they are shuffled.
+    Combinations are counted before they are shuffled, and meet their rows
+    under each salt that these have.  ``rows`` are those of ``source``, with
+    columns added.
     """
     source = rows if source is None else source
+    salt = _salt(source.columns)
     for name, keys in flags.items():
         keys = [*within, *keys]
-        counted = source.groupBy(*keys).agg((F.count(F.lit(1)) > 1).cast("int").alias(name))
-        rows = rows.join(counted, keys, "left")
+        counted = source.withColumn(_SALT, salt).groupBy(*keys, _SALT).agg(F.count(F.lit(1)).alias("rows_here"))
+        known = _totals(counted, keys, F.col(_SALT), "rows_of_key")
+        known = known.select(*keys, _SALT, (F.col("rows_of_key") > 1).cast("int").alias(name))
+        rows = rows.withColumn(_SALT, salt).join(known, [*keys, _SALT], "left").drop(_SALT)
     return rows
 
 

@@ -76,3 +76,37 @@ def test_chains_cover_all_sets_in_few_sorts():
     chains = counts._chains(led, list(counts.COLUMNS.values()))
     assert sorted(map(tuple, led)) == sorted(tuple(s) for chain in chains for s in chain)
     assert len(led) == 30 and len(chains) <= 14
+
+
+def joins_of(frame) -> list[str]:
+    plan = frame._jdf.queryExecution().sparkPlan().toString()
+    return [line for line in plan.splitlines() if "SortMergeJoin" in line]
+
+
+def test_no_count_joins_on_a_bare_key(spark, skewed, hot):
+    """Nine tenths of the rows are one user's; all joins of counts are spread by a salt."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = skewed.where(fields.received()).select("row_id", *counts.COLUMNS.values())
+        heavy = rows.withColumn("user_id", F.when(F.pmod(F.xxhash64("row_id"), F.lit(10)) > 0, F.lit(-7)).otherwise(F.col("user_id")))
+        for size in (1, 2, 5):
+            wanted = counts.interaction_counts(size)
+            spread = counts._from_grain(heavy, wanted)
+            assert len(joins_of(spread)) == len(wanted) + 1
+            assert all("__salt" in j or "__copy" in j for j in joins_of(spread))
+            assert bag(spread) == bag(counts.attach_counts(heavy, wanted))
+        repeats = counts.attach_repeats(heavy, {**counts.COUPON_REPEAT, **counts.MERCHANT_REPEAT})
+        assert len(joins_of(repeats)) == 2 and all("__salt" in j for j in joins_of(repeats))
+        for keys in (*counts.COUPON_REPEAT.items(), *counts.MERCHANT_REPEAT.items()):
+            name, by = keys
+            alike = heavy.groupBy(*by).agg((F.count("*") > 1).cast("int").alias(name))
+            assert bag(repeats.select("row_id", name)) == bag(heavy.join(alike, by).select("row_id", name))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_of_one_key_are_spread_evenly(skewed):
+    rows = skewed.where("user_id = -7").select("row_id", *counts.COLUMNS.values())
+    of = rows.withColumn("salt", counts._salt(["row_id"])).groupBy("salt").count().collect()
+    assert len(of) == counts.SALTS and max(r["count"] for r in of) < 4 * rows.count() / counts.SALTS
