@@ -7,11 +7,13 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HASH_DIGITS = 4
+from couponlab.operators import selection
+from couponlab.session import checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -102,50 +104,36 @@ def date_split(log: DataFrame, cut: str = "2016-05-30", last: str = "2016-06-15"
     return log.withColumn("split", part).where(F.col("split").isNotNull())
 
 
-def exact_parts(rows: DataFrame, by: list[str], quotas: list[Column], order: list[Column], bucket: Column) -> DataFrame:
+def exact_parts(rows: DataFrame, by: list[str], quotas: list[Column], order: list[Column]) -> DataFrame:
     """Number the parts of each group: 0 up to the first quota, 1 up to the next, ...
 
     Rows of a group are ranked by ``order``, which must tell rows apart and
     hold no nulls; a quota is a number of rows, as a column that may use
     ``rows_of_group``.  The result is exact, yet no group is sorted or moved:
-    ``bucket`` must not decrease along ``order``, rows are counted per bucket,
-    only the buckets a quota falls in are ranked to find its last row, and all
-    rows are then compared with those few.  Groups are few; buckets are at
-    most ``16 ** HASH_DIGITS`` per leading value.
+    the last row inside each quota is searched for, and all rows are compared
+    with those few.  Groups are few.  The rows are written once and read back,
+    so what they come from is worked out once.
     """
-    marked = rows.select(*by, F.struct(*order).alias("at"), bucket.alias("bucket"))
-    counted = marked.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("rows_here"))
-    group = Window.partitionBy(*by)
-    running = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = counted.withColumns(
-        {"rows_of_group": F.sum("rows_here").over(group), "reached": F.sum("rows_here").over(running)}
-    )
-    cuts, edges, part = [], [], F.lit(0)
-    for i, quota in enumerate(quotas):
-        short = F.col("reached") < quota
-        # The bucket the quota falls in, and how many of its rows are inside.
-        cuts.append(F.min(F.when(~short, F.col("bucket"))).alias(f"cut_{i}"))
-        cuts.append(F.min(quota - F.when(short, F.col("reached")).otherwise(0)).alias(f"left_{i}"))
-        last = (F.col("bucket") == F.col(f"cut_{i}")) & (F.col("place") == F.col(f"left_{i}"))
-        edges.append(F.max(F.when(last, F.col("at"))).alias(f"edge_{i}"))
-        beyond = (
-            F.when(F.col(f"cut_{i}").isNull(), False)
-            .when(F.col(f"left_{i}") <= 0, True)
-            .otherwise(F.struct(*order) > F.col(f"edge_{i}"))
-        )
-        part = part + beyond.cast("int")
-    # One row per group in both tables.
-    table = counted.groupBy(*by).agg(*cuts)
-    at_cut = reduce(or_, [F.col("bucket") == F.col(f"cut_{i}") for i in range(len(quotas))])
-    ranked = marked.join(F.broadcast(table), by).where(at_cut)
-    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*by, "bucket").orderBy("at")))
-    table = table.join(ranked.groupBy(*by).agg(*edges), by, "left")
-    return rows.join(F.broadcast(table), by, "left").select(*rows.columns, part.alias("part"))
-
-
-def _hash_order(row_id: str) -> tuple[list[Column], Column]:
-    digest = F.md5(F.col(row_id))
-    return [digest, F.col(row_id)], F.substring(digest, 1, HASH_DIGITS)
+    kept = _stored(rows)
+    edges = selection.places(kept, by, quotas, order)
+    part = F.lit(0)
+    for i in range(len(quotas)):
+        inside = F.col(f"e.edge_{i}").isNull() | (F.struct(*order) <= F.col(f"e.edge_{i}"))
+        part = part + (F.col(f"e.none_{i}") | ~inside).cast("int")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by]
+    # One row per group.
+    return kept.alias("r").join(F.broadcast(edges).alias("e"), same, "left").select("r.*", part.alias("part"))
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    spark = rows.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/split-{uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _hash_order(row_id: str) -> list[Column]:
+    return [F.md5(F.col(row_id)), F.col(row_id)]
 
 
 def stratified_split(
@@ -158,16 +146,14 @@ def stratified_split(
     """
     numerator, denominator = share
     quota = F.expr(f"(rows_of_group * {numerator} + {denominator - 1}) div {denominator}")
-    order, bucket = _hash_order(row_id)
-    parted = exact_parts(rows, [label], [quota], order, bucket)
+    parted = exact_parts(rows, [label], [quota], _hash_order(row_id))
     return parted.withColumn("split", F.when(F.col("part") == 0, "validate").otherwise("train")).drop("part")
 
 
 def stratified_folds(rows: DataFrame, folds: int, label: str = "label", row_id: str = "row_id") -> DataFrame:
     """Add ``fold``: near-equal parts of every label, chosen by hash."""
     quotas = [F.expr(f"rows_of_group * {i} div {folds}") for i in range(1, folds)]
-    order, bucket = _hash_order(row_id)
-    return exact_parts(rows, [label], quotas, order, bucket).withColumnRenamed("part", "fold")
+    return exact_parts(rows, [label], quotas, _hash_order(row_id)).withColumnRenamed("part", "fold")
 
 
 def positional_split(
@@ -175,14 +161,13 @@ def positional_split(
 ) -> DataFrame:
     """The first ``at`` rows by ``lead`` (null first) as train, the rest test.
 
-    ``at`` is a number, or a column that may use ``rows_of_group``.  A Spark table has no row order, so the order is stated: by ``lead``, then
-    by hash of the row id.
+    ``at`` is a number, or a column that may use ``rows_of_group``.  A Spark
+    table has no row order, so the order is stated: by ``lead``, then by hash
+    of the row id.
     """
-    digest = F.md5(F.col(row_id))
     leading = F.coalesce(F.col(lead).cast("string"), F.lit(""))
-    bucket = F.concat(leading, F.lit("/"), F.substring(digest, 1, 2))
     quota = at if isinstance(at, Column) else F.lit(at).cast("bigint")
     whole = rows.withColumn("everything", F.lit(1))
-    parted = exact_parts(whole, ["everything"], [quota], [leading, digest, F.col(row_id)], bucket)
+    parted = exact_parts(whole, ["everything"], [quota], [leading, *_hash_order(row_id)])
     split = F.when(F.col("part") == 0, "train").otherwise("test")
     return parted.withColumn("split", split).drop("part", "everything")
