@@ -401,6 +401,18 @@ def _three_fields(name: str) -> Query:
     return run
 
 
+def three_fields_test(spark: SparkSession, folder: str) -> DataFrame:
+    log, label_rows = _clean(spark, folder), fields.clean(scoring_log(_log(spark, folder)))
+    built = datasets.three_fields(
+        windows.received_in(log, windows.HISTORY_FIELDS["test"]),
+        windows.bought_in(log, windows.MIDDLE_FIELDS["test"]),
+        label_rows,
+        datasets.find_hot(log),
+        labelled=False,
+    )
+    return _rounded(built)
+
+
 # --- evaluation ---------------------------------------------------------------
 
 
@@ -592,6 +604,7 @@ _QUERIES: dict[str, Query] = {
     "assemble_v0": assemble_v0,
     "three_fields": _three_fields("train"),
     "three_fields_validate": _three_fields("validate"),
+    "three_fields_test": three_fields_test,
     "coupon_auc": coupon_auc,
     "mean_coupon_auc": mean_coupon_auc,
     "mismatch_count": mismatch_count,

@@ -432,12 +432,14 @@ def _three_fields(name: str) -> str:
     ):
         named = [_prefixed(text, prefix) for text in (users, MERCHANT_COUNTS_V0, COUPON_ALL)]
         parts.append(_tables(tag, where, *named))
-    rows = _basic_rows(_between("date_received", *LABEL[name]), CLEAN_COLUMNS + ", row_id")
+    # The third label field is the scoring log, which has no label.
+    labelled = name in LABEL
+    rows = _basic_rows(_between("date_received", *LABEL[name]) if labelled else SCORING, CLEAN_COLUMNS + ", row_id")
+    label = ", CASE WHEN date_used - date_received <= 15 THEN 1 ELSE 0 END AS label" if labelled else ""
     first = _entity_join("r", "uh", "mh", "kh")
     second = _entity_join("a", "uw", "mw", "kw")
     return f"""WITH {CLEAN}, {', '.join(parts)}, r AS ({rows}), a AS ({first}), b AS ({second})
-SELECT * EXCLUDE (merchant_id, discount_raw, date_used),
-       CASE WHEN date_used - date_received <= 15 THEN 1 ELSE 0 END AS label
+SELECT * EXCLUDE (merchant_id, discount_raw, date_used){label}
 FROM b"""
 
 
@@ -670,6 +672,7 @@ def sql() -> dict[str, str]:
         "assemble_v0": _v0_set(),
         "three_fields": _three_fields("train"),
         "three_fields_validate": _three_fields("validate"),
+        "three_fields_test": _three_fields("test"),
         "coupon_auc": f"WITH {SCORES} SELECT coupon0, positives, negatives, round(auc, 6) AS auc FROM a",
         "mean_coupon_auc": f"WITH {SCORES} SELECT round(avg(auc), 6) AS mean_auc, count(*) AS coupons FROM a",
         "mismatch_count": f"""WITH {SCORES} SELECT
