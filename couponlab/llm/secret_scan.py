@@ -108,14 +108,14 @@ class BlobLedger:
 
     def _unseen(self, addressed: DataFrame) -> DataFrame:
         """Blobs that lack a rule version, each once, with their text and the rules already applied."""
+        # Copies meet map-side before anything is joined, so a blob of many copies sends one row from each task.
+        texts = addressed.groupBy(BLOB).agg(F.first("text").alias("text"))
+        none = F.array().cast("array<string>")
+        if self.lines().isEmpty():
+            return texts.withColumn("seen", none)
         seen = self.lines().groupBy(BLOB).agg(F.collect_set("rule").alias("seen"))
-        known = F.coalesce(F.col("seen"), F.array().cast("array<string>"))
-        lacking = (
-            addressed.select(BLOB).distinct().join(seen, BLOB, "left").select(BLOB, known.alias("seen")).where(F.size("seen") < len(self._rules))
-        )
-        # Copies meet map-side first, so a blob of many copies sends one row from each task.
-        texts = addressed.join(lacking, BLOB) if not self.lines().isEmpty() else addressed.withColumn("seen", F.array().cast("array<string>"))
-        return texts.groupBy(BLOB).agg(F.first("text").alias("text"), F.first("seen").alias("seen"))
+        joined = texts.join(seen, BLOB, "left").select(BLOB, "text", F.coalesce("seen", none).alias("seen"))
+        return joined.where(F.size("seen") < len(self._rules))
 
     def add(self, addressed: DataFrame) -> None:
         """Scan what the ledger does not have of ``addressed`` (``blob_id``, ``text``) and append it."""

@@ -94,6 +94,22 @@ def test_ledger_scans_only_what_is_unseen(spark):
     assert spark.read.parquet(path).count() == 9 + 3
 
 
+def test_copies_meet_before_the_ledger_is_joined(spark):
+    """A second scan of mostly copies of one new blob: each task sends it once, and the join sees it once."""
+    ledger = secret_scan.BlobLedger(spark, tables.fresh_path(spark, "ledger"))
+    ledger.scan(spark.createDataFrame([("a", "nothing")], "path string, text string"))
+    copies = spark.range(0, 4000, 1, 8).selectExpr("concat('p', id) AS path", "if(id % 10 = 0, concat('token=aaaaaa', id), 'token=1234567') AS text")
+    addressed = copies.select(F.sha2("text", 256).alias("blob_id"), "text")
+    unseen = ledger._unseen(addressed)
+    plan = unseen._jdf.queryExecution().optimizedPlan().toString()
+    rows_side = plan[plan.index("Join LeftOuter") :]
+    assert rows_side.index("Aggregate [blob_id") < rows_side.index("Range")
+    assert unseen.count() == 401
+    found = ledger.scan(copies)
+    assert found.where("size(spans) = 1").count() == 4000
+    assert ledger.lines().count() == 3 * 402
+
+
 def test_redaction_leaves_no_secret(spark):
     documents = spark.createDataFrame([(i, t, 0) for i, t in enumerate(SECRETS)], "doc_id bigint, text string, n_chars int")
     clean = secret_scan.redacted(documents)
