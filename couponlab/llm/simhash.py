@@ -183,7 +183,8 @@ def groups(marked: DataFrame, key: str, distance: int = 4) -> DataFrame:
     labels = components(links(prints, distance)).withColumnRenamed("node", FINGERPRINT)
     named = prints.join(labels, FINGERPRINT, "left").withColumn("label", F.coalesce("label", FINGERPRINT))
     named = written(named, "named-fingerprints")
-    roots = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    # A table of its own, so that both sides of the join are scans and a group with most fingerprints can be split.
+    roots = written(named.groupBy("label").agg(F.min("first").alias("component_id")), "group-roots")
     return written(named.join(roots, "label").select(FINGERPRINT, "label", "component_id"), "fingerprint-groups")
 
 
