@@ -50,6 +50,8 @@ BLOCK = 1 << 20
 BUCKET = 1 << 22
 #: Groups of buckets that are sorted one after the other.
 TURNS = 3
+#: Bytes of text to a task, about; more text gets more tasks.
+TASK = 1 << 26
 
 _BLOCKS = "block bigint, ids array<bigint>, sizes array<bigint>, data binary"
 _SENT = "bucket bigint, block bigint, strings binary"
@@ -66,8 +68,8 @@ class Block:
         self.ends = np.cumsum(self.sizes)
         self.document = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.end = self.ends[self.document]
-        self._edges = (np.arange(buckets + 1, dtype=np.float64) * (2.0**64 / buckets))[1:-1].astype(np.uint64)
-        self._buckets, self._powers = buckets, powers
+        self._shift = np.uint64(64 - (buckets.bit_length() - 1))
+        self._powers = powers
         self._sums = prefix_sums(self.data, powers)
 
     def prints(self, places: np.ndarray, size: int) -> np.ndarray:
@@ -86,9 +88,11 @@ class Block:
             return ordered, which, starts, starts
         return ordered[starts], which, np.minimum.reduceat(documents, starts), np.maximum.reduceat(documents, starts)
 
-    def bounds(self, prints: np.ndarray) -> np.ndarray:
-        """Where each bucket of the sorted fingerprints begins."""
-        return np.r_[0, np.searchsorted(prints, self._edges), len(prints)]
+    def runs(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that the sorted fingerprints fill, in order, and where each begins, with the end behind."""
+        own = (prints >> self._shift).astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+        return own[starts], np.r_[starts, len(own)]
 
     def cover(self) -> np.ndarray:
         """Cover places with a whole string before their document ends."""
@@ -157,9 +161,10 @@ def _blocks(batches, buckets: int):
 
 def _answered(block: Block, prints: np.ndarray, answers: list[dict] | None) -> np.ndarray:
     """The bits of all buckets put together, in order of fingerprint."""
-    bounds, out = block.bounds(prints), np.zeros(len(prints), np.uint8)
+    (filled, bounds), out = block.runs(prints), np.zeros(len(prints), np.uint8)
     for answer in answers or ():
-        low, high = bounds[answer["bucket"]], bounds[answer["bucket"] + 1]
+        run = np.searchsorted(filled, answer["bucket"])
+        low, high = bounds[run], bounds[run + 1]
         out[low:high] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=high - low)
     return out
 
@@ -177,9 +182,9 @@ def _send_cover(buckets: int):
         for cells, block in _blocks(batches, buckets):
             places = block.cover()
             prints = np.unique(block.prints(places, COVER_LENGTH))
-            bounds, short = block.bounds(prints), ((prints >> shift) & np.uint64(0xFFFFFFFF)).astype("<u4")
-            filled = [b for b in range(buckets) if bounds[b + 1] > bounds[b]]
-            yield _sent([(b, cells["block"], short[bounds[b] : bounds[b + 1]].tobytes()) for b in filled])
+            filled, bounds = block.runs(prints)
+            short = ((prints >> shift) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            yield _sent([(b, cells["block"], short[i:j].tobytes()) for b, i, j in zip(filled.tolist(), bounds, bounds[1:])])
 
     return run
 
@@ -215,10 +220,10 @@ def _send_suspects(buckets: int, turn: int):
             prints = block.prints(places, LENGTH)
             mine = (prints >> np.uint64(64 - (buckets.bit_length() - 1))) % np.uint64(TURNS) == turn
             prints, first = np.unique(prints[mine], return_index=True)
-            second, bounds = block.second_prints(places[mine][first]), block.bounds(prints)
-            cut = lambda a, b: a[bounds[b] : bounds[b + 1]].tobytes()
-            filled = [b for b in range(turn, buckets, TURNS) if bounds[b + 1] > bounds[b]]
-            yield _sent([(b, cells["block"], cut(prints.astype("<u8"), b) + cut(second, b)) for b in filled])
+            second, whole = block.second_prints(places[mine][first]), prints.astype("<u8")
+            filled, bounds = block.runs(prints)
+            cut = zip(filled.tolist(), bounds, bounds[1:])
+            yield _sent([(b, cells["block"], whole[i:j].tobytes() + second[i:j].tobytes()) for b, i, j in cut])
 
     return run
 
@@ -281,31 +286,33 @@ def _finish(buckets: int):
     return run
 
 
-def _joined(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
+def _joined(blocks: DataFrame, answers: DataFrame, name: str, tasks: int) -> DataFrame:
     """The blocks with their answers, a short list of bit strings each."""
-    own = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
-    return blocks.join(own, "block", "left")
+    own = answers.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
+    return blocks.repartition(tasks, "block").join(own, "block", "left")
 
 
 def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document its bytes, the bytes and runs removed, and the digest of the rest, under the id's name ``doc_id``."""
     spark = documents.sparkSession
     rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    known = rows.where("doc_id is not null")
+    size = known.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    tasks = max(partitions(spark), size // TASK)
+    ordered = known.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id")
     blocks = written(ordered.mapInArrow(_pack, _BLOCKS), "blocks")
-    size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
-    buckets = 1 << (max(TURNS * partitions(spark), size // BUCKET) - 1).bit_length()
+    buckets = 1 << (max(TURNS * tasks, size // BUCKET) - 1).bit_length()
 
     sent = blocks.mapInArrow(_send_cover(buckets), _SENT)
-    near = written(sent.groupBy("bucket").applyInArrow(_sort_cover, _ANSWERS), "cover-answers")
-    marked = _joined(blocks, near, "near").mapInArrow(_mark_suspects(buckets), _BLOCKS + ", suspects binary")
+    near = written(sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_sort_cover, _ANSWERS), "cover-answers")
+    marked = _joined(blocks, near, "near", tasks).mapInArrow(_mark_suspects(buckets), _BLOCKS + ", suspects binary")
     marked = written(marked, "marked-blocks")
     earlier = None
     for turn in range(TURNS):
         sent = marked.mapInArrow(_send_suspects(buckets, turn), _SENT)
-        answers = written(sent.groupBy("bucket").applyInArrow(_sort_suspects, _ANSWERS), "suspect-answers")
+        answers = written(sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_sort_suspects, _ANSWERS), "suspect-answers")
         earlier = answers if earlier is None else earlier.unionByName(answers)
-    found = _joined(marked, earlier, "earlier").mapInArrow(_finish(buckets), RESULT)
+    found = _joined(marked, earlier, "earlier", tasks).mapInArrow(_finish(buckets), RESULT)
     without = rows.where("doc_id is null").select(
         "doc_id",
         F.octet_length("text").cast("bigint").alias("n_bytes"),

@@ -180,9 +180,20 @@ def test_cover_meets_every_step():
     assert {(a - b) % repeats.PERIOD for a in repeats.COVER for b in repeats.COVER} == set(range(repeats.PERIOD))
 
 
-@pytest.mark.parametrize("block", [300, 1 << 20])
-def test_repeated_bytes_go(spark, monkeypatch, block):
+def test_only_filled_buckets_are_visited():
+    block = repeats.Block([1], [4], b"abcd", 1 << 40, repeats.Powers())
+    prints = np.array([5, 9, 1 << 30, (1 << 64) - 1], np.uint64)
+    filled, bounds = block.runs(prints)
+    assert filled.tolist() == [0, 64, (1 << 40) - 1] and bounds.tolist() == [0, 2, 3, 4]
+    filled, bounds = block.runs(prints[:0])
+    assert filled.tolist() == [] and bounds.tolist() == [0]
+
+
+@pytest.mark.parametrize("block, bucket, task", [(300, 1 << 22, 1 << 26), (1 << 20, 1 << 22, 1 << 26), (300, 16, 2000)])
+def test_repeated_bytes_go(spark, monkeypatch, block, bucket, task):
     monkeypatch.setattr(repeats, "BLOCK", block)
+    monkeypatch.setattr(repeats, "BUCKET", bucket)
+    monkeypatch.setattr(repeats, "TASK", task)
     draw = random.Random(3)
     pool = ["".join(draw.choice("abcé ") for _ in range(draw.choice([30, 49, 50, 51, 70, 400]))) for _ in range(12)]
     noise = lambda: "".join(draw.choice("xyzü") for _ in range(draw.randrange(60)))
