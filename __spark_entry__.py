@@ -7,6 +7,7 @@ rounded to six places for comparison.
 from __future__ import annotations
 
 import importlib.util
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,6 +18,8 @@ import oracle_queries
 from couponlab.functions import calendar, discount, fields, labels
 from couponlab.operators import boosting, counts, entities, evaluation, models, neighbours, profile, receipts, skew, windows
 from couponlab.plans import datasets, scoring
+from couponlab.session import checkpoint_dir
+from couponlab.sources import log_files, sinks
 from couponlab.sources.star_tables import coupon_log, scoring_log
 
 ENTRY_FOLDER = "/root/testdata/sf0.001"
@@ -413,6 +416,66 @@ def three_fields_test(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(built)
 
 
+# --- files --------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _lines(spark: SparkSession, folder: str, with_purchase: bool = True) -> str:
+    """The log as lines of text, those of some users broken; the folder they are in."""
+    group = F.col("user_id") % 50
+    received = F.when((group == 9) & F.col("date_received").isNotNull(), "20160231").otherwise(F.date_format("date_received", "yyyyMMdd"))
+    columns = [
+        F.when(group == 7, F.concat(F.lit("u"), F.col("user_id"))).otherwise(F.col("user_id").cast("string")),
+        F.when(group == 8, "").otherwise(F.col("merchant_id").cast("string")),
+        F.col("coupon_id").cast("string"),
+        F.col("discount_raw"),
+        F.col("distance").cast("string"),
+        received,
+    ]
+    if with_purchase:
+        columns.append(F.date_format("date_used", "yyyyMMdd"))
+    cells = F.array(*columns)
+    whole = F.when(group == 10, F.slice(cells, 1, 4)).otherwise(cells)
+    path = _scratch(spark, "lines")
+    _log(spark, folder).select(F.array_join(whole, ",", "null").alias("line")).write.text(path)
+    return path
+
+
+def read_receipts(spark: SparkSession, folder: str) -> DataFrame:
+    return log_files.read_with_rejects(spark, _lines(spark, folder), header=False)[0]
+
+
+def read_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return log_files.read_with_rejects(spark, _lines(spark, folder, False), with_purchase=False, header=False)[0]
+
+
+def rejected_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return log_files.read_with_rejects(spark, _lines(spark, folder), header=False)[1]
+
+
+def staged_read_back(spark: SparkSession, folder: str) -> DataFrame:
+    path = _scratch(spark, "staged")
+    sinks.write_staged(label_3way(spark, folder), path, partition_by=["label"])
+    return log_files.read_table(spark, path)
+
+
+def sets_read_back(spark: SparkSession, folder: str) -> DataFrame:
+    log, path = _raw(_log(spark, folder)), _scratch(spark, "sets")
+    spans = {"train": windows.received_in(log, windows.DATASET_1), "validate": windows.received_in(log, windows.DATASET_2)}
+    sinks.write_sets(spans, path)
+    return log_files.read_table(spark, path).select(*fields.RAW_COLUMNS, "split")
+
+
+def submission_read_back(spark: SparkSession, folder: str) -> DataFrame:
+    path = _scratch(spark, "submission")
+    scored = _log(spark, folder).where(fields.received()).withColumn("prob", F.coalesce(F.col("distance"), F.lit(0)) / 16)
+    sinks.write_submission(scored, path)
+    return spark.read.schema("user_id bigint, coupon_id bigint, date_received string, prob double").csv(path)
+
+
 # --- evaluation ---------------------------------------------------------------
 
 
@@ -605,6 +668,12 @@ _QUERIES: dict[str, Query] = {
     "three_fields": _three_fields("train"),
     "three_fields_validate": _three_fields("validate"),
     "three_fields_test": three_fields_test,
+    "read_receipts": read_receipts,
+    "read_scoring": read_scoring,
+    "rejected_lines": rejected_lines,
+    "staged_read_back": staged_read_back,
+    "sets_read_back": sets_read_back,
+    "submission_read_back": submission_read_back,
     "coupon_auc": coupon_auc,
     "mean_coupon_auc": mean_coupon_auc,
     "mismatch_count": mismatch_count,

@@ -54,6 +54,9 @@ c AS (
 """
 )
 
+#: Users whose lines the file queries leave whole.
+_WHOLE = "user_id % 50 NOT IN (7, 8, 10) AND NOT (user_id % 50 = 9 AND date_received IS NOT NULL)"
+
 RAW = "user_id, merchant_id, coupon_id, discount_raw, distance, date_received, date_used"
 
 
@@ -568,6 +571,23 @@ def sql() -> dict[str, str]:
               AS discount_share, distance, label FROM st""",
         "date_numbers": f"""WITH {LOG} SELECT user_id, {received} AS received_number,
             {number.format('date_used')} AS used_number, date_received AS parsed_received FROM log""",
+        "read_receipts": f"WITH {LOG} SELECT {RAW} FROM log WHERE {_WHOLE}",
+        "read_scoring": f"""WITH {LOG} SELECT user_id, merchant_id, coupon_id, discount_raw, distance, date_received,
+            CAST(NULL AS DATE) AS date_used FROM log WHERE {_WHOLE}""",
+        "rejected_lines": f"""WITH {LOG} SELECT concat(
+                CASE WHEN user_id % 50 = 7 THEN 'u' ELSE '' END, user_id, ',',
+                CASE WHEN user_id % 50 = 8 THEN 'null' ELSE CAST(merchant_id AS VARCHAR) END, ',',
+                coalesce(CAST(coupon_id AS VARCHAR), 'null'), ',', coalesce(discount_raw, 'null'),
+                CASE WHEN user_id % 50 = 10 THEN '' ELSE concat(',', coalesce(CAST(distance AS VARCHAR), 'null'), ',',
+                    CASE WHEN user_id % 50 = 9 THEN '20160231' ELSE coalesce(strftime(date_received, '%Y%m%d'), 'null') END, ',',
+                    coalesce(strftime(date_used, '%Y%m%d'), 'null')) END) AS line,
+            CASE user_id % 50 WHEN 8 THEN 'key' WHEN 9 THEN 'date' ELSE 'fields' END AS reason
+            FROM log WHERE NOT ({_WHOLE})""",
+        "staged_read_back": f"WITH {LOG} SELECT {RAW}, {_LABEL3} AS label FROM log",
+        "sets_read_back": f"""WITH {LOG} SELECT {RAW}, 'train' AS split FROM log WHERE {_between('date_received', *DATASETS[1])}
+            UNION ALL SELECT {RAW}, 'validate' AS split FROM log WHERE {_between('date_received', *DATASETS[2])}""",
+        "submission_read_back": f"""WITH {LOG} SELECT user_id, coupon_id, strftime(date_received, '%Y%m%d') AS date_received,
+            CAST(coalesce(distance, 0) AS DOUBLE) / 16 AS prob FROM log WHERE date_received IS NOT NULL""",
         "label_15d": f"WITH {CLEAN} SELECT user_id, coupon_id, date_received, date_used, gap, label FROM c",
         "label_3way": f"WITH {LOG} SELECT {RAW}, {_LABEL3} AS label FROM log",
         "label_4way": f"""WITH {LOG} SELECT {RAW},

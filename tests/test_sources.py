@@ -80,3 +80,40 @@ def test_submission_and_predictions_have_no_header(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "scores")).collect()] == ["1,100,20160702,0.25"]
     sinks.write_predictions(scores.select(F.lit(1).alias("prediction")), str(tmp_path / "labels"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "labels")).collect()] == ["1"]
+
+
+BROKEN = """User_id,Merchant_id,Coupon_id,Discount_rate,Distance,Date_received,Date
+1,10,100,100:10,0,20160402,20160417
+x,10,100,100:10,0,20160402,null
+2,,100,0.9,0,20160402,null
+3,10,100,0.9,0,20160231,null
+4,10,100,0.9,0,20160402,2016-05-01
+5,10,100
+6,10,100,0.9,0,20160402,null,7
+
+7,10,null,null,null,null,20160405
+"""
+
+
+def test_every_line_is_a_row_or_a_reject(spark, tmp_path):
+    (tmp_path / "broken.csv").write_text(BROKEN)
+    rows, rejects = log_files.read_with_rejects(spark, str(tmp_path / "broken.csv"))
+    assert rows.columns == fields.RAW_COLUMNS
+    assert sorted(r["user_id"] for r in rows.collect()) == [1, 7]
+    assert {r["line"][:2]: r["reason"] for r in rejects.collect()} == {
+        "x,": "fields", "2,": "key", "3,": "date", "4,": "date", "5,": "fields", "6,": "fields"
+    }
+    # No column asked for changes what is broken.
+    assert (rows.count(), rows.select("merchant_id").count(), rejects.count(), rejects.select("line").count()) == (2, 2, 6, 6)
+    reasons = {r["reason"]: r["count"] for r in rejects.groupBy("reason").count().collect()}
+    assert reasons == {"fields": 3, "key": 1, "date": 2}
+
+
+def test_scoring_lines_are_judged_too(spark, tmp_path):
+    (tmp_path / "test.csv").write_text(TEST + "2,10,100,0.9,1,2016\n3,10,100,0.9,1\n")
+    rows, rejects = log_files.read_with_rejects(spark, str(tmp_path / "test.csv"), with_purchase=False)
+    assert [r["user_id"] for r in rows.collect()] == [1] and rows.columns == fields.RAW_COLUMNS
+    assert sorted(r["reason"] for r in rejects.collect()) == ["date", "fields"]
+    (tmp_path / "none.csv").write_text(TEST.splitlines()[0] + "\n")
+    rows, rejects = log_files.read_with_rejects(spark, str(tmp_path / "none.csv"), with_purchase=False)
+    assert (rows.count(), rejects.count()) == (0, 0)
