@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import oracle_queries
 from couponlab.functions import calendar, discount, fields, labels
-from couponlab.operators import boosting, counts, entities, evaluation, models, neighbours, profile, receipts, skew, windows
+from couponlab.operators import boosting, counts, entities, evaluation, models, neighbours, penalised, profile, receipts, skew, windows
 from couponlab.plans import datasets, scoring
 from couponlab.session import checkpoint_dir
 from couponlab.sources import log_files, sinks
@@ -548,8 +548,7 @@ def _linear_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def elastic_net_cv(spark: SparkSession, folder: str) -> DataFrame:
     split = windows.stratified_split(_linear_rows(spark, folder))
-    search = models.fit_elastic_net(split.where(F.col("split") == "train"))
-    return models.grid_results(search, spark)
+    return penalised.fit_grid(split.where(F.col("split") == "train")).table(spark)
 
 
 def _linear_split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
