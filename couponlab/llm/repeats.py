@@ -16,10 +16,10 @@ below the period that brings both into it.  So:
    whether the suffix starts in an earlier block.
 
 Strings stand for their order by fingerprints, and one bit answers for each, so no
-text travels but the blocks.  Repeats within a block are settled in the block.  The
-cover's fingerprints have 32 bits beside the bucket and only narrow the search; those
-of step 3 have 96.  Each block sends a string once, so a passage that all documents
-share sends one fingerprint a block.
+text travels but the blocks.  Repeats within a block are settled in the block, by their
+bytes.  The cover's fingerprints have 32 bits beside the bucket and only narrow the
+search; those of step 3, between blocks, have 96.  Each block sends a string once, so a
+passage that all documents share sends one fingerprint a block.
 
 Rows: null and empty texts have no bytes and lose none; rows with a null id lose
 nothing and take nothing from others; rows of one id take nothing from each other and
@@ -71,6 +71,8 @@ class Block:
         self._shift = np.uint64(64 - (buckets.bit_length() - 1))
         self._powers = powers
         self._sums = prefix_sums(self.data, powers)
+        # The eight bytes from each place on, without a copy.
+        self._words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)) if len(data) > 7 else np.zeros(0, "<u8")
 
     def prints(self, places: np.ndarray, size: int) -> np.ndarray:
         return ranges(self._sums, places, places + size, self._powers)
@@ -88,6 +90,44 @@ class Block:
             return ordered, which, starts, starts
         return ordered[starts], which, np.minimum.reduceat(documents, starts), np.maximum.reduceat(documents, starts)
 
+    def alike(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether the strings of LENGTH bytes at two places are the same bytes, pair by pair."""
+        same = np.ones(len(one), bool)
+        for step in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+            same &= self._words[one + step] == self._words[other + step]
+        return same
+
+    def strings(self, places: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Strings of LENGTH bytes, each once, in order: fingerprint, a place; which a place has; its first document, by bytes.
+
+        Neighbours in the order are compared byte by byte.  Only if different strings share a fingerprint are they
+        told apart by the 32 further bits, and the documents found from the strings themselves.
+        """
+        if not len(places):
+            return prints, places, places, places
+        order = np.argsort(prints)
+        at, ordered = places[order], prints[order]
+        new = np.r_[True, ordered[1:] != ordered[:-1]]
+        again = np.flatnonzero(~new)
+        exact = bool(self.alike(at[again - 1], at[again]).all())
+        if not exact:
+            second = self.second_prints(places)
+            order = np.lexsort((second, prints))
+            at, ordered, more = places[order], prints[order], second[order]
+            new = np.r_[True, (ordered[1:] != ordered[:-1]) | (more[1:] != more[:-1])]
+        starts = np.flatnonzero(new)
+        which = np.empty(len(places), np.int64)
+        which[order] = np.cumsum(new) - 1
+        if exact:
+            first = np.minimum.reduceat(self.document[at], starts)[which]
+        else:
+            rows = np.lib.stride_tricks.sliding_window_view(self.data, LENGTH)[places]
+            string = np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+            lowest = np.full(len(places), len(self.sizes))
+            np.minimum.at(lowest, string, self.document[places])
+            first = lowest[string]
+        return ordered[starts], at[starts], which, first
+
     def runs(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The buckets that the sorted fingerprints fill, in order, and where each begins, with the end behind."""
         own = (prints >> self._shift).astype(np.int64)
@@ -219,8 +259,8 @@ def _send_suspects(buckets: int, turn: int):
             places = _suspects(cells, block)
             prints = block.prints(places, LENGTH)
             mine = (prints >> np.uint64(64 - (buckets.bit_length() - 1))) % np.uint64(TURNS) == turn
-            prints, first = np.unique(prints[mine], return_index=True)
-            second, whole = block.second_prints(places[mine][first]), prints.astype("<u8")
+            prints, at, _, _ = block.strings(places[mine], prints[mine])
+            second, whole = block.second_prints(at), prints.astype("<u8")
             filled, bounds = block.runs(prints)
             cut = zip(filled.tolist(), bounds, bounds[1:])
             yield _sent([(b, cells["block"], whole[i:j].tobytes() + second[i:j].tobytes()) for b, i, j in cut])
@@ -274,10 +314,10 @@ def _finish(buckets: int):
     def run(batches):
         for cells, block in _blocks(batches, buckets):
             places = _suspects(cells, block)
-            prints, which, first, _ = block.distinct(places, block.prints(places, LENGTH))
+            prints, _, which, first = block.strings(places, block.prints(places, LENGTH))
             earlier = _answered(block, prints, cells["earlier"]).astype(bool)
             # Ids come in order, so the first document with a string has the smallest id.
-            within = block.ids[first[which]] < block.ids[block.document[places]]
+            within = block.ids[first] < block.ids[block.document[places]]
             rows = list(block.results(places[earlier[which] | within]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]

@@ -206,6 +206,30 @@ def test_repeated_bytes_go(spark, monkeypatch, block, bucket, task):
     assert repeats.remove_repeats(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [0, 3, 9])
+def test_strings_of_one_fingerprint_are_compared_by_bytes(spark, monkeypatch, bits):
+    """With fingerprints of a few bits only, nothing but repeated bytes goes within a block."""
+    whole, mask = repeats.ranges, np.uint64((1 << 64) - (1 << (64 - bits)))
+    monkeypatch.setattr(repeats, "ranges", lambda *given: whole(*given) & mask)
+    draw = random.Random(8)
+    pool = ["".join(draw.choice("abc") for _ in range(70)) for _ in range(5)]
+    documents = [(i, "".join(draw.choice([draw.choice(pool), "".join(draw.choice("xyz") for _ in range(40))]) for _ in range(3))) for i in range(12)]
+    frame = spark.createDataFrame(documents, "doc_id bigint, text string")
+    # One range of ids, so one block.
+    monkeypatch.setattr(repeats, "partitions", lambda session: 1)
+    found = [tuple(r) for r in repeats.remove_repeats(frame).collect()]
+    assert {r[0]: r[1:] for r in found} == repeats_by_hand(documents)
+
+
+def test_block_tells_strings_of_one_fingerprint_apart():
+    text = b"p" * 50 + b"q" * 50 + b"p" * 50
+    block = repeats.Block([1, 2, 3], [50, 50, 50], text, 16, repeats.Powers())
+    places = np.array([0, 50, 100])
+    prints, at, which, first = block.strings(places, np.zeros(3, np.uint64))
+    assert len(prints) == 2 and which[0] == which[2] != which[1] and first.tolist() == [0, 1, 0]
+    assert block.alike(places[:1], places[2:]).all() and not block.alike(places[:1], places[1:2]).any()
+
+
 # --- quality ------------------------------------------------------------------
 
 
