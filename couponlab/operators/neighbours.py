@@ -17,15 +17,13 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from uuid import uuid4
-
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from couponlab.session import checkpoint_dir
+from couponlab.session import fresh_path
 
 # Executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -75,7 +73,7 @@ def _nearest(k: int):
 
 def _stored(rows: DataFrame, name: str) -> DataFrame:
     spark = rows.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
+    path = fresh_path(spark, name)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 

@@ -9,12 +9,10 @@ how it is joined is left to Spark, which knows its size.
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from couponlab.session import checkpoint_dir
+from couponlab.session import fresh_path
 
 #: Rows of one key a single task handles comfortably.
 HOT_ROWS = 1_000_000
@@ -23,7 +21,7 @@ HOT_ROWS = 1_000_000
 def _stored(counted: DataFrame) -> DataFrame:
     """The list as a table on shared storage."""
     spark = counted.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/hot-keys-{uuid4().hex}"
+    path = fresh_path(spark, "hot-keys")
     counted.write.parquet(path)
     return spark.read.schema(counted.schema).parquet(path)
 

@@ -7,13 +7,12 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from couponlab.operators import selection
-from couponlab.session import checkpoint_dir
+from couponlab.session import fresh_path
 
 
 @dataclass(frozen=True)
@@ -127,7 +126,7 @@ def exact_parts(rows: DataFrame, by: list[str], quotas: list[Column], order: lis
 
 def _stored(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/split-{uuid4().hex}"
+    path = fresh_path(spark, "split")
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
+from contextvars import ContextVar
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
+_FOLDER: ContextVar[str | None] = ContextVar("scratch folder", default=None)
+
 #: Runtime settings the jobs are written for.  Shuffle partition counts are
 #: left to the cluster; adaptive execution coalesces and splits them.
 SETTINGS = {
@@ -48,3 +53,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing uses yet, below the checkpoint folder or, inside ``scratch``, below its folder."""
+    return f"{_FOLDER.get() or checkpoint_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A folder of its own for the tables written inside, removed with them at the end.
+
+    Results that were not written, to a path from before, cannot be read afterwards.
+    """
+    folder = fresh_path(spark, "scratch")
+    token = _FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _FOLDER.reset(token)
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``fresh_path`` named, wherever it is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
