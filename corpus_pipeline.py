@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from couponlab.llm import byte_bpe, quality, secret_scan, simhash, winnowing
-from couponlab.llm.tables import written
+from couponlab.llm.tables import fresh_path, settled, written  # noqa: F401
+from couponlab.session import remove
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -57,8 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``.  A stage's tables go when its result is written, that one when the next is."""
+    docs, behind = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = fresh_path(spark, f"stage-{name}")
+        docs = settled(spark, f"stage-{name}", lambda: stage(spark, docs, sf_dir), path)
+        if behind:
+            remove(spark, behind)
+        behind = path
     return STAGES[-1][1](spark, docs, sf_dir)

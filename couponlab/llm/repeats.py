@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from couponlab.llm.hashing import Powers, mixed, prefix_sums, ranges
-from couponlab.llm.tables import partitions, written
+from couponlab.llm.tables import partitions, settled, written
 
 LENGTH = 50
 #: A perfect difference cover: every step modulo the period is a difference of two members.
@@ -340,13 +340,15 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     size = known.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     tasks = max(partitions(spark), size // TASK)
     ordered = known.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id")
-    blocks = written(ordered.mapInArrow(_pack, _BLOCKS), "blocks")
     buckets = 1 << (max(TURNS * tasks, size // BUCKET) - 1).bit_length()
 
-    sent = blocks.mapInArrow(_send_cover(buckets), _SENT)
-    near = written(sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_sort_cover, _ANSWERS), "cover-answers")
-    marked = _joined(blocks, near, "near", tasks).mapInArrow(_mark_suspects(buckets), _BLOCKS + ", suspects binary")
-    marked = written(marked, "marked-blocks")
+    def with_suspects() -> DataFrame:
+        blocks = written(ordered.mapInArrow(_pack, _BLOCKS), "blocks")
+        sent = blocks.mapInArrow(_send_cover(buckets), _SENT)
+        near = written(sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_sort_cover, _ANSWERS), "cover-answers")
+        return _joined(blocks, near, "near", tasks).mapInArrow(_mark_suspects(buckets), _BLOCKS + ", suspects binary")
+
+    marked = settled(spark, "marked-blocks", with_suspects)
     earlier = None
     for turn in range(TURNS):
         sent = marked.mapInArrow(_send_suspects(buckets, turn), _SENT)

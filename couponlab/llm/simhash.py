@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from couponlab.llm.components import components
-from couponlab.llm.tables import ROW, numbered, set_aside, written
+from couponlab.llm.tables import ROW, numbered, set_aside, settled, written
 
 BITS = 64
 #: Fingerprints of one key that are compared at once.
@@ -179,13 +179,17 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
 
 def groups(marked: DataFrame, key: str, distance: int = 4) -> DataFrame:
     """For each fingerprint of the table ``marked`` its group's ``label`` and ``component_id``, the group's smallest key."""
+    return settled(marked.sparkSession, "fingerprint-groups", lambda: _groups(marked, key, distance))
+
+
+def _groups(marked: DataFrame, key: str, distance: int) -> DataFrame:
     prints = written(marked.groupBy(FINGERPRINT).agg(F.min(key).alias("first")), "distinct-fingerprints")
     labels = components(links(prints, distance)).withColumnRenamed("node", FINGERPRINT)
     named = prints.join(labels, FINGERPRINT, "left").withColumn("label", F.coalesce("label", FINGERPRINT))
     named = written(named, "named-fingerprints")
     # A table of its own, so that both sides of the join are scans and a group with most fingerprints can be split.
     roots = written(named.groupBy("label").agg(F.min("first").alias("component_id")), "group-roots")
-    return written(named.join(roots, "label").select(FINGERPRINT, "label", "component_id"), "fingerprint-groups")
+    return named.join(roots, "label").select(FINGERPRINT, "label", "component_id")
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, distance: int = 4) -> DataFrame:

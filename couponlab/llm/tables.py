@@ -7,13 +7,13 @@ is shared storage on a cluster.
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from couponlab.session import checkpoint_dir
+from couponlab.session import fresh_path, scratch
 
 #: Name of the column that tells rows apart, repeated ones too.
 ROW = "__row"
@@ -22,11 +22,6 @@ ROW = "__row"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the checkpoint folder that nothing uses yet."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @contextmanager
 def shuffles_dropped(spark: SparkSession):
     """While inside, a query's shuffle files are removed as soon as it has ended."""
@@ -38,15 +33,22 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.set(_CLEANUP, before)
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
+def written(rows: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``rows`` as a parquet table of its own, read back."""
     spark = rows.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     with shuffles_dropped(spark):
         rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame], path: str | None = None) -> DataFrame:
+    """What ``make`` returns as a table, read back; the tables written on the way to it are removed."""
+    path = path or fresh_path(spark, name)
+    with scratch(spark):
+        return written(make(), name, path)
+
+
 def numbered(rows: DataFrame, *columns: Column | str) -> DataFrame:
     """The columns behind a row number.  The number is stable only in a table that is written next."""
     return rows.select(F.monotonically_increasing_id().alias(ROW), *columns)

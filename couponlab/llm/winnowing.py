@@ -28,8 +28,8 @@ from couponlab.llm.tables import ROW, numbered, written
 #: Words of a window, and of the grams that are hashed.
 WINDOW = 10
 GRAM = 5
-#: Bits of the bitmap, as a power of two: 1 MB.
-BITMAP = 23
+#: Bits of the bitmap, as powers of two, at least and at most: 1 MB to 64 MB.  In between there are 16 or more to a hash.
+BITMAP, BITMAP_MOST = 23, 29
 #: Bytes hashed at once; a longer word is hashed alone.
 PIECE = 1 << 20
 
@@ -97,7 +97,7 @@ def _gram(words: Words, width: int, hash_: np.uint64, pos: int, size: int, reach
     return {"width": width, "hash": int(hash_.astype(np.int64)), "pos": pos, "lead": pos - start, "words": words.words(start, end)}
 
 
-def _grams_of(words: Words, widths: list[int], bitmap: np.ndarray | None) -> list[dict]:
+def _grams_of(words: Words, widths: list[int], bitmap: np.ndarray | None, size_bits: int = BITMAP) -> list[dict]:
     """Kept grams of every width with the words around them, those the bitmap lets pass."""
     out = []
     for width in widths:
@@ -105,7 +105,7 @@ def _grams_of(words: Words, widths: list[int], bitmap: np.ndarray | None) -> lis
         hashes = words.grams(size)
         places = kept(hashes, width - size + 1)
         if bitmap is not None:
-            bits = (hashes[places] >> np.uint64(64 - BITMAP)).astype(np.int64) + _FIRST
+            bits = (hashes[places] >> np.uint64(64 - size_bits)).astype(np.int64) + _FIRST
             places = places[(bitmap[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1]
         out += [_gram(words, width, hashes[p], int(p), size, width - size) for p in places]
     return out
@@ -134,11 +134,16 @@ def _marked(rows: DataFrame, text: str, pick) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _bitmap(grams: DataFrame) -> np.ndarray:
-    """A bit for the leading bits of every hash: 2^23 bits whatever the number of items."""
-    place = F.shiftrightunsigned("hash", 64 - BITMAP) + 1
+def _bits_for(hashes: int) -> int:
+    """The power of two of a bitmap that a given number of hashes fills to a sixteenth at most, within bounds."""
+    return min(max(BITMAP, (16 * hashes - 1).bit_length()), BITMAP_MOST)
+
+
+def _bitmap(grams: DataFrame, size_bits: int) -> np.ndarray:
+    """A bit for the leading bits of every hash.  It only narrows what is joined: a full one would let all pass."""
+    place = F.shiftrightunsigned("hash", 64 - size_bits) + 1
     rows = grams.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-    out = np.zeros(((1 << BITMAP) + _FIRST) // 8, np.uint8)
+    out = np.zeros(((1 << size_bits) + _FIRST) // 8, np.uint8)
     for bucket, bits in rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit")).collect():
         out[bucket * 4096 : (bucket + 1) * 4096] = np.frombuffer(bits, np.uint8)
     return out
@@ -166,8 +171,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
     owners = written(gram.join(contexts, around).select("context", "item_id").distinct(), "context-items")
 
     widths = sorted(r[0] for r in contexts.select("width").distinct().collect())
-    bitmap = context.broadcast(_bitmap(contexts))
-    of_document = lambda words: _grams_of(words, widths, bitmap.value)
+    size_bits = _bits_for(contexts.count())
+    bitmap = context.broadcast(_bitmap(contexts, size_bits))
+    of_document = lambda words: _grams_of(words, widths, bitmap.value, size_bits)
     marked = written(_marked(numbered(documents, key, F.col(text).alias("text")), "text", of_document), "document-grams")
 
     met = marked.select(ROW, F.explode("grams").alias("g")).select(ROW, "g.*").join(

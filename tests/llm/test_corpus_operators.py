@@ -155,6 +155,10 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r["doc_id"] or -1) for r in simhash.keep_one(documents).collect()) == [-1, 2, 9]
 
 
+def test_bitmap_follows_the_number_of_hashes():
+    assert [winnowing._bits_for(n) for n in (0, 1, 1 << 19, (1 << 19) + 1, 10_000_000, 1 << 40)] == [23, 23, 23, 24, 28, 29]
+
+
 # --- repeats ------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from couponlab import session
 from couponlab.llm import quality, secret_scan, winnowing
 
 FOLDER = "/root/testdata/sf0.001"
@@ -47,3 +48,15 @@ def test_odd_documents_pass_all_stages(spark):
     for name, stage in corpus_pipeline.STAGES:
         empty = corpus_pipeline.written(stage(spark, empty, FOLDER), f"empty-{name}")
     assert empty.count() == 0
+
+
+def test_run_leaves_one_table_and_equals_the_stages(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "checkpoint_dir", lambda _: str(tmp_path))
+    got = corpus_pipeline.run(spark, FOLDER)
+    left = sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, FOLDER), f"again-{name}")
+    want = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    assert left == ["stage-secrets"]
