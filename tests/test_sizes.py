@@ -82,3 +82,18 @@ def test_copies_of_a_place_reach_the_driver_once(spark, monkeypatch):
     train = sorted((r["h"], r["row_id"]) for r in split.where("split = 'train'").withColumn("h", F.md5("row_id")).collect())
     assert train == [o for o in order if o <= edge]
     assert max(drawn) < 300 and all(n < 8000 / 4 for n in kept)
+
+
+def test_counts_of_few_keys_are_sent_to_the_rows(spark, monkeypatch):
+    log = fields.clean(log_of(spark, 900)).select("user_id", "merchant_id", "coupon0", "discount_rate", "distance", "date_received")
+    log = log.withColumn("merchant_id", F.when(F.col("user_id") > 3, F.col("merchant_id")))
+    some = {"of_distance": ["distance"], "of_day": ["merchant_id", "date_received"]}
+    sets, found = {}, {}
+    grained = counts._on_grain
+    monkeypatch.setattr(counts, "_on_grain", lambda rows, asked, source: (sets.update({small: sorted(asked)}), grained(rows, asked, source))[1])
+    for small in (0, 50, 5000):
+        monkeypatch.setattr(skew, "SMALL_TABLE", small)
+        made = counts.attach_counts(log, some)
+        found[small] = made.columns, sorted(map(str, made.collect()))
+    assert sets == {0: ["of_day", "of_distance"], 50: ["of_day"]}
+    assert found[0] == found[50] == found[5000]
