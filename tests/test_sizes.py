@@ -89,8 +89,8 @@ def test_counts_of_few_keys_are_sent_to_the_rows(spark, monkeypatch):
     log = log.withColumn("merchant_id", F.when(F.col("user_id") > 3, F.col("merchant_id")))
     some = {"of_distance": ["distance"], "of_day": ["merchant_id", "date_received"]}
     sets, found = {}, {}
-    grained = counts._on_grain
-    monkeypatch.setattr(counts, "_on_grain", lambda rows, asked, source: (sets.update({small: sorted(asked)}), grained(rows, asked, source))[1])
+    grained = counts._from_grain
+    monkeypatch.setattr(counts, "_from_grain", lambda rows, asked, source: (sets.update({small: sorted(asked)}), grained(rows, asked, source))[1])
     for small in (0, 50, 5000):
         monkeypatch.setattr(skew, "SMALL_TABLE", small)
         made = counts.attach_counts(log, some)
