@@ -17,7 +17,7 @@ class Powers:
 
     def up_to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._up) < n:
-            size = max(n, 1 << 16)
+            size = max(n + n // 8, 1 << 16)
             steps = np.full(size - 1, _BASE, np.uint64), np.full(size - 1, _INVERSE, np.uint64)
             one = np.ones(1, np.uint64)
             self._up, self._down = (np.cumprod(np.concatenate([one, s]), dtype=np.uint64) for s in steps)

@@ -30,6 +30,7 @@ each keep a line; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,8 @@ BUCKET = 1 << 22
 TURNS = 3
 #: Bytes of text to a task, about; more text gets more tasks.
 TASK = 1 << 26
+#: Places whose fingerprints are worked out together; what that takes stays in the processor's cache.
+_PIECE = 1 << 14
 
 _BLOCKS = "block bigint, ids array<bigint>, sizes array<bigint>, data binary"
 _SENT = "bucket bigint, block bigint, strings binary"
@@ -66,29 +69,28 @@ class Block:
         self.ids, self.sizes = np.asarray(ids, np.int64), np.asarray(sizes, np.int64)
         self.data = np.frombuffer(data, np.uint8)
         self.ends = np.cumsum(self.sizes)
-        self.document = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.end = self.ends[self.document]
         self._shift = np.uint64(64 - (buckets.bit_length() - 1))
         self._powers = powers
         self._sums = prefix_sums(self.data, powers)
         # The eight bytes from each place on, without a copy.
         self._words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)) if len(data) > 7 else np.zeros(0, "<u8")
 
-    def prints(self, places: np.ndarray, size: int) -> np.ndarray:
-        return ranges(self._sums, places, places + size, self._powers)
+    @cached_property
+    def document(self) -> np.ndarray:
+        """The document of each place."""
+        return np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
 
-    def distinct(self, places: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Each fingerprint once, in order; which a place has; its first and last document."""
-        order = np.argsort(prints)
-        ordered, documents = prints[order], self.document[places[order]]
-        new = np.ones(len(ordered), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        which = np.empty(len(places), np.int64)
-        which[order] = np.cumsum(new) - 1
-        starts = np.flatnonzero(new)
-        if not len(starts):
-            return ordered, which, starts, starts
-        return ordered[starts], which, np.minimum.reduceat(documents, starts), np.maximum.reduceat(documents, starts)
+    def whole(self, size: int) -> np.ndarray:
+        """Whether a string of ``size`` bytes from each place ends within its document."""
+        short = np.minimum(self.sizes, size - 1)
+        return np.repeat(np.tile([True, False], len(short)), np.column_stack([self.sizes - short, short]).ravel())
+
+    def prints(self, places: np.ndarray, size: int) -> np.ndarray:
+        out = np.empty(len(places), np.uint64)
+        for at in range(0, len(places), _PIECE):
+            piece = places[at : at + _PIECE]
+            out[at : at + _PIECE] = ranges(self._sums, piece, piece + size, self._powers)
+        return out
 
     def alike(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
         """Whether the strings of LENGTH bytes at two places are the same bytes, pair by pair."""
@@ -97,36 +99,44 @@ class Block:
             same &= self._words[one + step] == self._words[other + step]
         return same
 
-    def strings(self, places: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Strings of LENGTH bytes, each once, in order: fingerprint, a place; which a place has; its first document, by bytes.
+    def ordered(self, places: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        """Strings of LENGTH bytes in order: the order, their fingerprints, where a new string begins; if bytes were alike.
 
         Neighbours in the order are compared byte by byte.  Only if different strings share a fingerprint are they
-        told apart by the 32 further bits, and the documents found from the strings themselves.
+        told apart by the 32 further bits.
         """
-        if not len(places):
-            return prints, places, places, places
         order = np.argsort(prints)
-        at, ordered = places[order], prints[order]
-        new = np.r_[True, ordered[1:] != ordered[:-1]]
+        ordered = prints[order]
+        new = _new(ordered)
         again = np.flatnonzero(~new)
-        exact = bool(self.alike(at[again - 1], at[again]).all())
+        exact = bool(self.alike(places[order[again - 1]], places[order[again]]).all())
         if not exact:
             second = self.second_prints(places)
             order = np.lexsort((second, prints))
-            at, ordered, more = places[order], prints[order], second[order]
-            new = np.r_[True, (ordered[1:] != ordered[:-1]) | (more[1:] != more[:-1])]
+            ordered = prints[order]
+            new = _new(ordered) | _new(second[order])
+        return order, ordered, new, exact
+
+    def strings(self, places: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Strings of LENGTH bytes, each once, in order: fingerprint, a place; which a place has; its first document, by bytes.
+
+        If different strings share a fingerprint, the documents are found from the strings themselves.
+        """
+        if not len(places):
+            return prints, places, places, places
+        order, ordered, new, exact = self.ordered(places, prints)
         starts = np.flatnonzero(new)
         which = np.empty(len(places), np.int64)
         which[order] = np.cumsum(new) - 1
         if exact:
-            first = np.minimum.reduceat(self.document[at], starts)[which]
+            first = np.minimum.reduceat(self.document[places[order]], starts)[which]
         else:
             rows = np.lib.stride_tricks.sliding_window_view(self.data, LENGTH)[places]
             string = np.unique(rows, axis=0, return_inverse=True)[1].ravel()
             lowest = np.full(len(places), len(self.sizes))
             np.minimum.at(lowest, string, self.document[places])
             first = lowest[string]
-        return ordered[starts], at[starts], which, first
+        return ordered[starts], places[order[starts]], which, first
 
     def runs(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The buckets that the sorted fingerprints fill, in order, and where each begins, with the end behind."""
@@ -136,17 +146,33 @@ class Block:
 
     def cover(self) -> np.ndarray:
         """Cover places with a whole string before their document ends."""
-        place = np.arange(len(self.data)) - (self.end - self.sizes[self.document])
-        member = np.isin(np.arange(PERIOD), COVER)[place % PERIOD]
-        return np.flatnonzero(member & (np.arange(len(self.data)) + COVER_LENGTH <= self.end))
+        strings = np.maximum(self.sizes - COVER_LENGTH + 1, 0)
+        counts = strings // PERIOD * len(COVER) + np.searchsorted(COVER, strings % PERIOD)
+        most = int(counts.max(initial=0)) // len(COVER) + 1
+        steps = (PERIOD * np.arange(most)[:, None] + np.array(COVER)).ravel()
+        before = np.cumsum(counts) - counts
+        return steps[np.arange(counts.sum()) - np.repeat(before, counts)] + np.repeat(self.ends - self.sizes, counts)
+
+    def shared(self, places: np.ndarray, prints: np.ndarray, answers: pa.StructArray | None) -> np.ndarray:
+        """The places whose fingerprint another document has, here or, by the answers, elsewhere."""
+        order = np.argsort(prints)
+        ordered = prints[order]
+        new = _new(ordered)
+        which = np.cumsum(new) - 1
+        found = _answered(self, ordered[new], answers)
+        again = np.flatnonzero(~new)
+        # Where a fingerprint has two documents, two neighbours in the order differ.
+        differ = self.document[places[order[again - 1]]] != self.document[places[order[again]]]
+        found[which[again[differ]]] = True
+        return places[order[found[which]]]
 
     def suspects(self, shared: np.ndarray) -> np.ndarray:
         """Whether a string of LENGTH bytes from a place may repeat: one of the shared cover places is in its first period."""
-        near = np.zeros(len(self.data) + 1, np.int32)
-        begins = (self.end - self.sizes[self.document])[shared]
-        np.add.at(near, np.maximum(shared - PERIOD + 1, begins), 1)
-        np.add.at(near, shared + 1, -1)
-        return (np.cumsum(near[:-1]) > 0) & (np.arange(len(self.data)) + LENGTH <= self.end)
+        near = np.zeros(len(self.data), bool)
+        near[shared] = True
+        # A whole string is longer than the period, so the place found is in the same document.
+        _spread(near[::-1], PERIOD)
+        return near & self.whole(LENGTH)
 
     def second_prints(self, places: np.ndarray) -> np.ndarray:
         """32 more bits for the string at each place, from hashes of its halves."""
@@ -154,17 +180,41 @@ class Block:
         a, b = self.prints(places, half), self.prints(places + half, half)
         return (mixed(a * np.uint64(3) + (b ^ (b >> np.uint64(17)))) >> np.uint64(32)).astype("<u4")
 
-    def results(self, gone: np.ndarray):
-        """For each document: bytes, bytes removed, runs removed, digest of what is kept.  ``gone``: places of strings that go."""
-        step = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(step, gone, 1)
-        np.add.at(step, gone + LENGTH, -1)
-        removed = np.cumsum(step[:-1]) > 0
-        for i, (size, end) in enumerate(zip(self.sizes, self.ends)):
-            mine = removed[end - size : end]
-            runs = int(np.count_nonzero(mine[1:] & ~mine[:-1])) + int(mine[:1].sum())
-            kept = hashlib.sha256(self.data[end - size : end][~mine].tobytes()).hexdigest()
-            yield int(self.ids[i]), int(size), int(mine.sum()), runs, kept
+    def results(self, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """For each document: bytes removed, runs removed, digest of what is kept.  ``gone``: places of strings that go."""
+        removed = np.zeros(len(self.data), bool)
+        removed[gone] = True
+        _spread(removed, LENGTH)
+        filled = self.sizes > 0
+        heads, tails = (self.ends - self.sizes)[filled], self.ends[filled] - 1
+        begins, stops = removed.copy(), removed.copy()
+        begins[1:] &= ~removed[:-1]
+        stops[:-1] &= ~removed[1:]
+        begins[heads], stops[tails] = removed[heads], removed[tails]
+        begins, stops = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        document = np.searchsorted(self.ends, begins, side="right")
+        lost, runs = np.zeros(len(self.sizes), np.int64), np.bincount(document, minlength=len(self.sizes))
+        np.add.at(lost, document, stops - begins)
+        kept = self.data[~removed]
+        ends = np.cumsum(self.sizes - lost)
+        digests = [hashlib.sha256(kept[i:j]).hexdigest() for i, j in zip([0, *ends.tolist()], ends.tolist())]
+        return lost, runs, digests
+
+
+def _new(ordered: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before."""
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return new
+
+
+def _spread(marks: np.ndarray, width: int) -> None:
+    """Mark the places behind each mark too, ``width`` with its own."""
+    reach = 1
+    while reach < width:
+        step = min(reach, width - reach)
+        marks[step:] |= marks[:-step]
+        reach += step
 
 
 def _pack(batches):
@@ -191,21 +241,23 @@ def _pack(batches):
         yield done()
 
 
-def _blocks(batches, buckets: int):
-    powers = Powers()
+def _blocks(batches, buckets: int, powers: Powers | None = None):
+    """The cells of each row, lists as arrays, and its block."""
+    powers = powers or Powers()
     for batch in batches:
         for row in range(batch.num_rows):
-            cells = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-            yield cells, Block(cells["ids"], cells["sizes"], cells["data"], buckets, powers)
+            cells = {c: batch.column(c)[row] for c in batch.schema.names}
+            cells = {c: v.values if isinstance(v, pa.ListScalar) else v.as_py() for c, v in cells.items()}
+            yield cells, Block(cells["ids"].to_numpy(), cells["sizes"].to_numpy(), cells["data"], buckets, powers)
 
 
-def _answered(block: Block, prints: np.ndarray, answers: list[dict] | None) -> np.ndarray:
+def _answered(block: Block, prints: np.ndarray, answers: pa.StructArray | None) -> np.ndarray:
     """The bits of all buckets put together, in order of fingerprint."""
-    (filled, bounds), out = block.runs(prints), np.zeros(len(prints), np.uint8)
-    for answer in answers or ():
-        run = np.searchsorted(filled, answer["bucket"])
-        low, high = bounds[run], bounds[run + 1]
-        out[low:high] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=high - low)
+    (filled, bounds), out = block.runs(prints), np.zeros(len(prints), bool)
+    if answers is not None:
+        runs = np.searchsorted(filled, answers.field("bucket").to_numpy())
+        for low, high, bits in zip(bounds[runs].tolist(), bounds[runs + 1].tolist(), answers.field("bits").to_pylist()):
+            out[low:high] = np.unpackbits(np.frombuffer(bits, np.uint8), count=high - low)
     return out
 
 
@@ -221,7 +273,8 @@ def _send_cover(buckets: int):
     def run(batches):
         for cells, block in _blocks(batches, buckets):
             places = block.cover()
-            prints = np.unique(block.prints(places, COVER_LENGTH))
+            prints = np.sort(block.prints(places, COVER_LENGTH))
+            prints = prints[_new(prints)]
             filled, bounds = block.runs(prints)
             short = ((prints >> shift) & np.uint64(0xFFFFFFFF)).astype("<u4")
             yield _sent([(b, cells["block"], short[i:j].tobytes()) for b, i, j in zip(filled.tolist(), bounds, bounds[1:])])
@@ -233,13 +286,12 @@ def _mark_suspects(buckets: int):
     """The blocks with a bit for each byte: whether the string there may repeat."""
 
     def run(batches):
+        powers = Powers()
         for batch in batches:
             marks = []
-            for cells, block in _blocks([batch], buckets):
+            for cells, block in _blocks([batch], buckets, powers):
                 places = block.cover()
-                prints, which, first, last = block.distinct(places, block.prints(places, COVER_LENGTH))
-                elsewhere = _answered(block, prints, cells["near"]).astype(bool)
-                shared = places[(elsewhere | (first != last))[which]]
+                shared = block.shared(places, block.prints(places, COVER_LENGTH), cells["near"])
                 marks.append(np.packbits(block.suspects(shared)).tobytes())
             kept = [batch.column(c) for c in ("block", "ids", "sizes", "data")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(marks, pa.binary())], names=["block", "ids", "sizes", "data", "suspects"])
@@ -248,7 +300,7 @@ def _mark_suspects(buckets: int):
 
 
 def _suspects(cells: dict, block: Block) -> np.ndarray:
-    return np.flatnonzero(np.unpackbits(np.frombuffer(cells["suspects"], np.uint8), count=len(block.data)))
+    return np.flatnonzero(np.unpackbits(np.frombuffer(cells["suspects"], np.uint8), count=len(block.data)).view(bool))
 
 
 def _send_suspects(buckets: int, turn: int):
@@ -258,9 +310,12 @@ def _send_suspects(buckets: int, turn: int):
         for cells, block in _blocks(batches, buckets):
             places = _suspects(cells, block)
             prints = block.prints(places, LENGTH)
-            mine = (prints >> np.uint64(64 - (buckets.bit_length() - 1))) % np.uint64(TURNS) == turn
-            prints, at, _, _ = block.strings(places[mine], prints[mine])
-            second, whole = block.second_prints(at), prints.astype("<u8")
+            own = prints >> np.uint64(64 - (buckets.bit_length() - 1))
+            mine = own - own // np.uint64(TURNS) * np.uint64(TURNS) == turn
+            places, prints = places[mine], prints[mine]
+            order, ordered, new, _ = block.ordered(places, prints)
+            prints = ordered[new]
+            second, whole = block.second_prints(places[order[new]]), prints.astype("<u8")
             filled, bounds = block.runs(prints)
             cut = zip(filled.tolist(), bounds, bounds[1:])
             yield _sent([(b, cells["block"], whole[i:j].tobytes() + second[i:j].tobytes()) for b, i, j in cut])
@@ -315,12 +370,12 @@ def _finish(buckets: int):
         for cells, block in _blocks(batches, buckets):
             places = _suspects(cells, block)
             prints, _, which, first = block.strings(places, block.prints(places, LENGTH))
-            earlier = _answered(block, prints, cells["earlier"]).astype(bool)
+            earlier = _answered(block, prints, cells["earlier"])
             # Ids come in order, so the first document with a string has the smallest id.
             within = block.ids[first] < block.ids[block.document[places]]
-            rows = list(block.results(places[earlier[which] | within]))
+            columns = (block.ids, block.sizes, *block.results(places[earlier[which] | within]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return run

@@ -11,11 +11,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from couponlab.llm import components, language, neighbours_scan, quality, repeats, simhash, winnowing
+from couponlab.llm import components, hashing, language, neighbours_scan, quality, repeats, simhash, winnowing
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -234,6 +235,66 @@ def test_block_tells_strings_of_one_fingerprint_apart():
     assert block.alike(places[:1], places[2:]).all() and not block.alike(places[:1], places[1:2]).any()
 
 
+@pytest.mark.parametrize("sizes", [[], [0, 0], [3], [0, 29, 30, 0, 31, 49, 50, 51, 0, 180, 400, 70, 0]])
+def test_places_of_a_block_match_a_plain_loop(sizes):
+    draw = random.Random(len(sizes))
+    data = bytes(draw.choice(b"ab") for _ in range(sum(sizes)))
+    block = repeats.Block(list(range(len(sizes))), sizes, data, 16, repeats.Powers())
+    spans = [(sum(sizes[:i]), sum(sizes[: i + 1])) for i in range(len(sizes))]
+    cover = [p for a, b in spans for p in range(a, b) if (p - a) % repeats.PERIOD in repeats.COVER and p + repeats.COVER_LENGTH <= b]
+    assert block.cover().tolist() == cover
+    shared = sorted(draw.sample(cover, len(cover) // 9))
+    near = [any(p <= c < p + repeats.PERIOD for c in shared) and p + 50 <= b for a, b in spans for p in range(a, b)]
+    assert block.suspects(np.array(shared, np.int64)).tolist() == near
+    # Whole documents too, so that runs of two documents touch.
+    strings = [p for a, b in spans for p in range(a, b - 49) if draw.random() < 0.02 or a == spans[-3][0]]
+    lost, runs, digests = block.results(np.array(strings, np.int64))
+    for (a, b), n, r, digest in zip(spans, lost, runs, digests, strict=True):
+        gone = [any(p <= i < p + 50 for p in strings if a <= p < b) for i in range(a, b)]
+        kept = bytes(x for x, g in zip(data[a:b], gone) if not g)
+        starts = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        assert (n, r, digest) == (sum(gone), starts, hashlib.sha256(kept).hexdigest())
+
+
+def test_documents_without_strings_keep_their_lines(spark):
+    frame = spark.createDataFrame([(1, None), (2, ""), (3, "é" * 5), (3, "")], "doc_id bigint, text string")
+    found = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove_repeats(frame).collect())
+    assert found == [(1, 0, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0), (3, 10, 0, 0)]
+
+
+def test_powers_are_not_made_anew_for_each_longer_block():
+    powers = repeats.Powers()
+    up, down = powers.up_to(1 << 20)
+    longer, _ = powers.up_to((1 << 20) + 50_000)
+    assert np.shares_memory(up, longer) and longer[: 1 << 20].tolist() == up.tolist()
+    assert (up * down == 1).all()
+
+
+def test_sending_the_cover_costs_little_more_than_its_fingerprints():
+    data = np.random.default_rng(5).integers(97, 123, 1 << 20, np.uint8).tobytes()
+    cells = {"block": [0], "ids": [list(range(256))], "sizes": [[4096] * 256], "data": [data]}
+    batch = pa.RecordBatch.from_pydict(cells)
+    places = np.flatnonzero(np.isin(np.arange(len(data) - 50) % repeats.PERIOD, repeats.COVER))
+
+    def least():
+        powers = hashing.Powers()
+        sums = hashing.prefix_sums(np.frombuffer(data, np.uint8), powers)
+        np.sort(hashing.ranges(sums, places, places + repeats.COVER_LENGTH, powers))
+
+    def sending():
+        assert sum(b.num_rows for b in repeats._send_cover(256)([batch])) == 256
+
+    def cost(run):
+        taken = []
+        for _ in range(7):
+            began = time.process_time()
+            run()
+            taken.append(time.process_time() - began)
+        return min(taken)
+
+    assert cost(sending) < 2 * cost(least)
+
+
 # --- quality ------------------------------------------------------------------
 
 
